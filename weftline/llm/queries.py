@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, minhash
+from weftline.llm import bpe, decontaminate, minhash, tokenstore
 from weftline.llm._shared import table
 
 
@@ -44,5 +44,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash}
+def op5_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenstore.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenstore.read_tokens(files)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op5_tokenstore": op5_tokenstore}
 SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL}
