@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, minhash, tokenstore
+from weftline.llm import bpe, decontaminate, minhash, tokenstore, warc
 from weftline.llm._shared import table
 
 
@@ -49,5 +49,21 @@ def op5_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_tokens(files)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op5_tokenstore": op5_tokenstore}
-SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.records(warc.write_archives(table(spark, sf_dir, "pages")))
+    return rows.select(F.col("row_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+#: Base32 comes from the hexadecimal digest, five bits at a time.
+OP7_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+m AS (SELECT hex, max(page_id) AS top FROM p GROUP BY hex),
+bits AS (SELECT DISTINCT hex, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', hex[i]) - 1), 4, '0')), '') AS b FROM p),
+names AS (SELECT hex, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(b[5 * i + 1] AS INT) + 8 * CAST(b[5 * i + 2] AS INT) + 4 * CAST(b[5 * i + 3] AS INT) + 2 * CAST(b[5 * i + 4] AS INT) + CAST(b[5 * i + 5] AS INT)]), '') AS payload_digest FROM bits)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = top OR top IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN m USING (hex) JOIN names USING (hex)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op5_tokenstore": op5_tokenstore, "op7_warc": op7_warc}
+SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_warc": OP7_SQL}
