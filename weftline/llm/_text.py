@@ -91,15 +91,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans ascend and don't overlap."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19, table: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of the bytes (or other values that table mixes) of each span; spans ascend and don't overlap."""
     out = np.zeros(len(starts), np.uint64)
     low = 0
     while low < len(starts):
         high = max(low + 1, int(np.searchsorted(ends, starts[low] + block, side="right")))
         a, b = int(starts[low]), int(ends[high - 1])
         total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE[data[a:b]] * _power_table(_P, b - a)[: b - a], out=total[1:])
+        np.cumsum(table[data[a:b]] * _power_table(_P, b - a)[: b - a], out=total[1:])
         s, e = starts[low:high] - a, ends[low:high] - a
         h = (total[e] - total[s]) * _power_table(_P_INVERSE, b - a)[s]
         out[low:high] = mix64(h + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
