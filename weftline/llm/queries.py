@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, langid, minhash, tokenstore, warc
+from weftline.llm import bpe, decontaminate, langid, minhash, quality, tokenstore, warc
 from weftline.llm._shared import table
 
 
@@ -49,6 +49,11 @@ def op5_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_tokens(files)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.select(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "expected_grade", "p_harmless", "p_good", "kept")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.records(warc.write_archives(table(spark, sf_dir, "pages")))
     return rows.select(F.col("row_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
@@ -72,5 +77,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op5_tokenstore": op5_tokenstore, "op7_warc": op7_warc, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op5_tokenstore": op5_tokenstore, "op6_quality": op6_quality, "op7_warc": op7_warc, "op10_langid": op10_langid}
 SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_warc": OP7_SQL}
