@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, langid, minhash, quality, tokenstore, warc
+from weftline.llm import bpe, decontaminate, langid, minhash, quality, tokencounts, tokenstore, warc
 from weftline.llm._shared import table
 
 
@@ -70,6 +70,12 @@ FROM p JOIN m USING (hex) JOIN names USING (hex)
 """
 
 
+def op9_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = tokencounts.count_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return rows.select("doc_id", "n_tokens", F.size("section_tokens").cast("long").alias("n_sections"), "n_crossing", "section_tokens")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
@@ -77,5 +83,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op5_tokenstore": op5_tokenstore, "op6_quality": op6_quality, "op7_warc": op7_warc, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op5_tokenstore": op5_tokenstore, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_tokencounts": op9_tokencounts, "op10_langid": op10_langid}
 SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_warc": OP7_SQL}
