@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, langid, minhash, quality, tokencounts, tokenstore, warc
+from weftline.llm import bpe, decontaminate, embeddings, langid, minhash, quality, tokencounts, tokenstore, warc
 from weftline.llm._shared import table
 
 
@@ -44,6 +44,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenstore.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return tokenstore.read_tokens(files)
@@ -83,5 +87,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op5_tokenstore": op5_tokenstore, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_tokencounts": op9_tokencounts, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_embeddings": op4_embeddings, "op5_tokenstore": op5_tokenstore, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_tokencounts": op9_tokencounts, "op10_langid": op10_langid}
 SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_warc": OP7_SQL}
