@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -31,7 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and kept as a Parquet table in the shared folder: it survives lost executors and cuts the lineage."""
     path = fresh_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing will read any more, and lets Spark drop the shuffle files of finished jobs."""
+    for df in tables:
+        drop_folder(df.sparkSession, df._written_at)
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

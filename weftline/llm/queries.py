@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, embeddings, langid, minhash, quality, tokencounts, tokenstore, warc
+from weftline.llm import bpe, decontaminate, embeddings, langid, minhash, quality, substring, tokencounts, tokenstore, warc
 from weftline.llm._shared import table
 
 
@@ -74,6 +74,10 @@ FROM p JOIN m USING (hex) JOIN names USING (hex)
 """
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op9_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = tokencounts.count_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -87,5 +91,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_embeddings": op4_embeddings, "op5_tokenstore": op5_tokenstore, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_tokencounts": op9_tokencounts, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_embeddings": op4_embeddings, "op5_tokenstore": op5_tokenstore, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_substring": op8_substring, "op9_tokencounts": op9_tokencounts, "op10_langid": op10_langid}
 SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_warc": OP7_SQL}
