@@ -7,8 +7,9 @@ buckets; a pair that shares a bucket is judged from its registers by the joint l
 pairs that are not excluded so are verified on their full sets.
 
 Documents of one set form a class, and only classes are compared. In each bucket every class meets the bucket's
-smallest (linear in the bucket); after the links found so have been joined to components, pairs of one bucket that
-are still in different components are compared too, so no pair of a bucket is left out unless it can't change the result.
+smallest (linear in the bucket). After the links found so have been joined to components, only buckets with several
+components are undecided; their classes go to finer buckets, by more registers, and there all pairs of different components
+are compared. A pair within a component needs no comparison, as it can't change the result.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from weftline.llm.graph import components
 SHINGLE, SIMILAR = 5, (75, 100)
 #: Bands and registers in each: a pair at the threshold shares no band with a probability of (1 - 0.75 ** 5) ** 51 = 1e-6.
 BANDS, BAND = 51, 5
+#: Finer bands, of registers drawn at random, in which only classes meet that the first bands leave undecided: a pair at the
+#: threshold shares none of them with a probability of about 3e-4, one of similarity 0.4 shares one with 0.02.
+FINE_BANDS, FINE_BAND = 200, 10
 #: Base, rate and largest exponent of the registers.
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 #: A pair is excluded unverified if its likelihood at the threshold is below that at its estimate by so much (6.3 standard errors).
@@ -130,22 +134,31 @@ def sketches(df: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def bands_of(bands: int, band: int, disjoint: bool) -> np.ndarray:
+    """Register numbers by band: consecutive ones, or ones drawn at random for each band."""
+    if disjoint:
+        return np.arange(bands * band).reshape(bands, band)
+    return np.argsort(stream64(79, bands * BANDS * BAND).reshape(bands, -1), axis=1)[:, :band]
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     data, _ = column_bytes(column)
     return data.view(np.uint16).reshape(-1, width)
 
 
-def band_keys(classes: DataFrame, bands: int = BANDS, band: int = BAND) -> DataFrame:
-    """(bucket, node): a row for each band of each class; equal registers of a band give equal buckets."""
+def band_keys(classes: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(bucket, node): a row for each band of each class; equal registers of a band give equal buckets. chosen: a row of
+    register numbers for each band."""
+    bands, band = chosen.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = stream64(71, bands * band) | np.uint64(1)
+        factors = stream64(71, bands * band).reshape(bands, band) | np.uint64(1)
         salt = stream64(73, bands)
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                registers = _matrix(part.column(1), bands * band).astype(np.uint64)
-                keys = mix64((mix64(registers + np.uint64(1)) * factors).reshape(len(part), bands, band).sum(axis=2) + salt)
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                registers = mix64(_matrix(part.column(1), BANDS * BAND).astype(np.uint64) + np.uint64(1))
+                keys = mix64((registers[:, chosen] * factors).sum(axis=2) + salt)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), bands), pa.int64())], ["bucket", "node"])
 
     return classes.select("node", "registers").mapInArrow(run, "bucket long, node long")
@@ -215,13 +228,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     drawn = written(sketches(rows).drop("text"), "sketches")
     classes = drawn.where("n_shingles > 0").groupBy("set_print").agg(F.min("id").alias("least"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("rep"), F.min("h").alias("h"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = written(classes.withColumn("rep", F.struct(F.col("rep.id").alias("i"), F.coalesce("rep.h", "h").alias("h"))).drop("h").withColumn("node", F.monotonically_increasing_id()), "classes")
-    pivots = written(band_keys(classes).groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot"), "pivots")
-    shared = written(band_keys(classes).join(pivots, "bucket"), "buckets")
+    coarse = bands_of(BANDS, BAND, True)
+    pivots = written(band_keys(classes, coarse).groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot"), "pivots")
+    shared = written(band_keys(classes, coarse).join(pivots, "bucket"), "buckets")
     stars = written(_not_excluded(shared.where("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), classes, similar), "pairs")
     links = _verified(stars, df, classes, id_col, text, k, similar)
     reached = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # what shares a bucket and is still apart
-    apart = _apart(shared, reached)
+    apart = _apart(_mixed(shared.select("bucket", "node"), reached).select("node").distinct(), classes, reached)
     rest = written(_not_excluded(apart.join(stars, ["a", "b"], "left_anti"), classes, similar), "pairs")
     more = _verified(rest, df, classes, id_col, text, k, similar)
     reached = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -233,13 +247,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _apart(shared: DataFrame, reached: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket and lie in different components. In each bucket the members outside its
-    largest component meet all members of other components; members of one component never meet."""
-    rows = shared.select("bucket", "node").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _mixed(rows: DataFrame, reached: DataFrame) -> DataFrame:
+    """(bucket, node, root): the members of buckets that hold several components."""
+    rows = rows.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    rows = written(rows.join(written(mixed, "mixed"), "bucket"), "mixed-buckets")
-    major = written(rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("major")), "majors")
+    return rows.join(written(mixed, "mixed"), "bucket")
+
+
+def _apart(undecided: DataFrame, classes: DataFrame, reached: DataFrame) -> DataFrame:
+    """Pairs (a, b) of undecided nodes that share a fine bucket and lie in different components. In each bucket the members outside
+    its largest component meet all members of other components; members of one component never meet."""
+    undecided = written(classes.select("node", "registers").join(written(undecided, "undecided"), "node", "left_semi"), "undecided")
+    rows = written(_mixed(band_keys(undecided, bands_of(FINE_BANDS, FINE_BAND, False)), reached), "fine-buckets")
+    major = written(rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max("n").alias("n"), F.max_by("root", "n").alias("major")).select("bucket", "major"), "majors")
     minor = rows.join(major, "bucket").where("root <> major").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), "major")
     pairs = minor.join(rows.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry")), "bucket").where("rx <> ry AND (ry = major OR x < y)")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
