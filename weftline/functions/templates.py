@@ -112,16 +112,16 @@ def _has_parent(e: Column) -> Column:
 
 
 def _category(e: Column) -> Column:
-    return F.when(_has_parent(e), concat(", which falls under the category ", quoted(e["parent"]))).otherwise(X.EMPTY)
+    return F.when(_has_parent(e), concat(", which falls under the category ", quoted(e["parent"]))).otherwise(X.empty())
 
 
 def _and_a(e: Column, even_thing: bool) -> Column:
     given = F.coalesce(e["parent"] != "", F.lit(False)) if even_thing else _has_parent(e)
-    return F.when(given, concat(" and a ", quoted(e["parent"]))).otherwise(X.EMPTY)
+    return F.when(given, concat(" and a ", quoted(e["parent"]))).otherwise(X.empty())
 
 
 def _siblings(e: Column) -> Column:
-    return F.when(X.filled(e["siblings"]), concat(" ", X.siblings_clause(e["siblings"], e["parent"]))).otherwise(X.EMPTY)
+    return F.when(X.filled(e["siblings"]), concat(" ", X.siblings_clause(e["siblings"], e["parent"]))).otherwise(X.empty())
 
 
 def _described(*clauses: Callable[[Column], Column], dot: int | None = None) -> Callable[[Column], Column]:
@@ -196,7 +196,7 @@ def _(s: Column, t: Column, c: Context) -> Column:
 @register("one_level_of_parents")
 def _(s: Column, t: Column, c: Context) -> Column:
     def one(e: Column) -> Column:
-        return concat(quoted(_name(e)), F.when(F.coalesce(e["parent"], X.EMPTY) != "", concat(", which belongs to the broader category ", quoted(e["parent"]))).otherwise(X.EMPTY))
+        return concat(quoted(_name(e)), F.when(F.coalesce(e["parent"], X.empty()) != "", concat(", which belongs to the broader category ", quoted(e["parent"]))).otherwise(X.empty()))
 
     return lines(c.preamble, *_two(one, s, t), f"\n{SAME_THING} {c.instruction}")
 
@@ -204,7 +204,7 @@ def _(s: Column, t: Column, c: Context) -> Column:
 @register("two_levels_of_parents")
 def _(s: Column, t: Column, c: Context) -> Column:
     def one(e: Column) -> Column:
-        more = [F.when(F.size(e["levels"]) > i, concat(said, quoted(F.get(e["levels"], F.lit(i))))).otherwise(X.EMPTY) for i, said in ((1, ", which belongs to the broader category "), (2, ", under the even broader category "))]
+        more = [F.when(F.size(e["levels"]) > i, concat(said, quoted(F.get(e["levels"], F.lit(i))))).otherwise(X.empty()) for i, said in ((1, ", which belongs to the broader category "), (2, ", under the even broader category "))]
         return concat(quoted(F.get(e["levels"], F.lit(0))), *more)
 
     return lines(c.preamble, *_two(one, s, t), f"\n{SAME_THING} {c.instruction}")
@@ -232,7 +232,7 @@ def _(s: Column, t: Column, c: Context) -> Column:
         def broader(level: Column, i: Column) -> Column:
             own = F.get(known, i + 1)
             said = F.when(i == 0, "belongs to broader category ").otherwise("under the even broader category ")
-            return concat(said, quoted(level), F.when(X.filled(own), concat(" (also known as ", X.quoted_list(F.array_sort(own)), ")")).otherwise(X.EMPTY))
+            return concat(said, quoted(level), F.when(X.filled(own), concat(" (also known as ", X.quoted_list(F.array_sort(own)), ")")).otherwise(X.empty()))
 
         return concat(F.concat_ws(", ", F.array(name), F.transform(F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))), broader)), ".")
 
@@ -255,7 +255,7 @@ def _subsumed(described: Callable[[Column], Column], source: Callable[[Column],
 
 
 def _nothing(e: Column) -> Column:
-    return X.EMPTY
+    return X.empty()
 
 
 def _also(e: Column) -> Column:
@@ -292,7 +292,7 @@ def _(s: Column, t: Column, c: Context) -> Column:
     facts = []
     for e, where in ((s, "(Ontology 1)"), (t, "(Ontology 2)")):
         known = X.synonyms_besides(e["synonyms"], e["own_name"])
-        kind = F.when(F.coalesce(e["parent"], X.EMPTY) != "", concat("- ", quoted(_name(e)), " is a kind of ", quoted(e["parent"]), f" {where}"))
+        kind = F.when(F.coalesce(e["parent"], X.empty()) != "", concat("- ", quoted(_name(e)), " is a kind of ", quoted(e["parent"]), f" {where}"))
         facts.append(F.coalesce(kind, concat("- ", quoted(_name(e)), f" is a concept in {where[1:-1]}")))
         facts.append(F.when(X.filled(known), concat("- ", quoted(_name(e)), " is also known as ", X.quoted_list(known, " and "), f" {where}")))
     ask = concat("\nGiven these facts, can you conclude that ", quoted(_name(s)), " (Ontology 1) and ", quoted(_name(t)), f" (Ontology 2) refer to the same real-world concept? {c.instruction}")
@@ -318,7 +318,7 @@ def _(s: Column, t: Column, c: Context) -> Column:
 
 
 def _spaced(clause: Column) -> Column:
-    return F.when(clause != "", concat(" ", clause)).otherwise(X.EMPTY)
+    return F.when(clause != "", concat(" ", clause)).otherwise(X.empty())
 
 
 @register("class_with_restrictions")
@@ -369,7 +369,7 @@ def _instance(e: Column) -> Column:
 
 def _typed(e: Column) -> Column:
     clause = X.types_clause(e["types"])
-    return concat(_instance(e), F.when(clause != "", concat(", ", clause)).otherwise(X.EMPTY))
+    return concat(_instance(e), F.when(clause != "", concat(", ", clause)).otherwise(X.empty()))
 
 
 def _entities(c: Context, first: Column, second: Column, end: str = ".") -> Column:
@@ -400,7 +400,7 @@ def _with_properties(whole: bool, shared_only: bool, by_entropy: bool) -> Templa
             chosen = X.common_properties(a, b, c.most_properties, shared_only or by_entropy, entropies)
             for k, side in enumerate(("source", "target")):
                 clause = c.attributes(chosen[side], c.most_properties)
-                sides[k] = concat(sides[k], F.when(clause != "", concat(said, clause)).otherwise(X.EMPTY))
+                sides[k] = concat(sides[k], F.when(clause != "", concat(said, clause)).otherwise(X.empty()))
         return _entities(c, *sides)
 
     return build

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EMPTY = F.lit("")
+
+def empty() -> Column:
+    return F.lit("")
+
 
 # fixed values
 RESTRICTION_VERBS = {"some": "relates to some", "only": "only relates to", "min": "relates to at least", "max": "relates to at most", "exactly": "relates to exactly"}
@@ -48,12 +51,12 @@ def synonyms_besides(synonyms: Column, own_name: Column) -> Column:
 
 
 def also_known(synonyms: Column) -> Column:
-    return F.when(filled(synonyms), concat(", also known as ", quoted_list(synonyms))).otherwise(EMPTY)
+    return F.when(filled(synonyms), concat(", also known as ", quoted_list(synonyms))).otherwise(empty())
 
 
 def known_parenthetical(synonyms: Column, preferred: Column) -> Column:
     others = F.array_sort(F.filter(synonyms, lambda s: s != preferred))
-    return F.when(filled(others), concat(" (also known as ", quoted_list(others), ")")).otherwise(EMPTY)
+    return F.when(filled(others), concat(" (also known as ", quoted_list(others), ")")).otherwise(empty())
 
 
 def siblings_clause(labels: Column, parent: Column) -> Column:
@@ -61,7 +64,7 @@ def siblings_clause(labels: Column, parent: Column) -> Column:
     n = F.size(labels)
     last = quoted(F.try_element_at(labels, F.lit(-1)))
     many = concat(quoted_list(F.slice(labels, F.lit(1), F.greatest(n - 1, F.lit(0)))), " and ", last)
-    return F.when(filled(labels), concat('Other "', F.coalesce(parent, F.lit("None")), '" concepts include ', F.when(n == 1, last).otherwise(many), ".")).otherwise(EMPTY)
+    return F.when(filled(labels), concat('Other "', F.coalesce(parent, F.lit("None")), '" concepts include ', F.when(n == 1, last).otherwise(many), ".")).otherwise(empty())
 
 
 def domain_range(label: Column, domain: Column, range_: Column, is_data: Column, domain_synonyms: Column | None = None, range_synonyms: Column | None = None) -> Column:
@@ -71,12 +74,12 @@ def domain_range(label: Column, domain: Column, range_: Column, is_data: Column,
         text = F.when(filled(names), quoted_list(F.array_sort(names))).otherwise("something")
         if synonyms is None:
             return text
-        return concat(text, F.when(filled(synonyms), known_parenthetical(synonyms, F.coalesce(F.array_min(names), EMPTY))).otherwise(EMPTY))
+        return concat(text, F.when(filled(synonyms), known_parenthetical(synonyms, F.coalesce(F.array_min(names), empty()))).otherwise(empty()))
 
     d, r = side(domain, domain_synonyms), side(range_, range_synonyms)
-    data = concat(F.when(filled(domain), concat(" on ", d)).otherwise(EMPTY), " which has data values of type ", r)
+    data = concat(F.when(filled(domain), concat(" on ", d)).otherwise(empty()), " which has data values of type ", r)
     object_ = concat(" which connects ", d, " to ", r)
-    return concat(quoted(label), F.when(filled(domain) | filled(range_), F.when(F.coalesce(is_data, F.lit(False)), data).otherwise(object_)).otherwise(EMPTY))
+    return concat(quoted(label), F.when(filled(domain) | filled(range_), F.when(F.coalesce(is_data, F.lit(False)), data).otherwise(object_)).otherwise(empty()))
 
 
 def restrictions_clause(restrictions: Column) -> Column:
@@ -84,28 +87,28 @@ def restrictions_clause(restrictions: Column) -> Column:
 
     def clause(r: Column) -> Column:
         verb = F.coalesce(*[F.when(r["restriction_type"] == k, v) for k, v in RESTRICTION_VERBS.items()], F.lit("relates to"))
-        filler = F.when(F.coalesce(r["filler_name"], EMPTY) != "", quoted(r["filler_name"])).otherwise("something")
+        filler = F.when(F.coalesce(r["filler_name"], empty()) != "", quoted(r["filler_name"])).otherwise("something")
         counted = r["restriction_type"].isin("min", "max", "exactly") & r["cardinality"].isNotNull()
-        return concat(verb, F.when(counted, concat(" ", r["cardinality"].cast("string"))).otherwise(EMPTY), " ", filler, " via ", quoted(r["property_name"]))
+        return concat(verb, F.when(counted, concat(" ", r["cardinality"].cast("string"))).otherwise(empty()), " ", filler, " via ", quoted(r["property_name"]))
 
-    return F.when(filled(restrictions), concat("It ", F.array_join(F.transform(restrictions, clause), " and "), ".")).otherwise(EMPTY)
+    return F.when(filled(restrictions), concat("It ", F.array_join(F.transform(restrictions, clause), " and "), ".")).otherwise(empty())
 
 
 def signature_clause(as_domain: Column, as_range: Column, most: int = 4) -> Column:
     parts = F.array(*[F.when(filled(x), concat(f"the {what} of ", quoted_list(F.slice(x, 1, most)))) for what, x in (("domain", as_domain), ("range", as_range))])
     text = F.array_join(F.filter(parts, lambda p: p.isNotNull()), ", and as ")
-    return F.when(text != "", concat("In its ontology, it appears as ", text, ".")).otherwise(EMPTY)
+    return F.when(text != "", concat("In its ontology, it appears as ", text, ".")).otherwise(empty())
 
 
 def characteristics_clause(characteristics: Column, inverse: Column) -> Column:
-    parts = F.array(F.when(filled(characteristics), concat("a ", F.array_join(characteristics, " and "), " property")), F.when(F.coalesce(inverse, EMPTY) != "", concat("the inverse of ", quoted(inverse))))
+    parts = F.array(F.when(filled(characteristics), concat("a ", F.array_join(characteristics, " and "), " property")), F.when(F.coalesce(inverse, empty()) != "", concat("the inverse of ", quoted(inverse))))
     text = F.array_join(F.filter(parts, lambda p: p.isNotNull()), " and ")
-    return F.when(text != "", concat("It is ", text, ".")).otherwise(EMPTY)
+    return F.when(text != "", concat("It is ", text, ".")).otherwise(empty())
 
 
 def types_clause(types: Column) -> Column:
     one = concat("which is a ", quoted(F.get(types, F.lit(0))))
-    return F.when(F.size(types) == 1, one).when(filled(types), concat("which is ", F.array_join(F.transform(types, lambda t: concat("a ", quoted(t))), " and "))).otherwise(EMPTY)
+    return F.when(F.size(types) == 1, one).when(filled(types), concat("which is ", F.array_join(F.transform(types, lambda t: concat("a ", quoted(t))), " and "))).otherwise(empty())
 
 
 def levels_text(levels: Column) -> Column:
@@ -122,7 +125,7 @@ def attribute_clause(properties: Column, most: Column | int) -> Column:
         return concat("is ", quoted(p["predicate_label"]), " ", said)
 
     found = F.filter(F.transform(F.slice(properties, 1, most), clause), lambda c: c.isNotNull())
-    return F.coalesce(F.array_join(found, " and "), EMPTY)
+    return F.coalesce(F.array_join(found, " and "), empty())
 
 
 def predicate_words(label: Column) -> Column:
@@ -149,7 +152,7 @@ def verbalised(label: Column, value: Column) -> Column:
 def attribute_clause_words(properties: Column, most: Column | int, joint: str = " and ") -> Column:
     value = lambda p: F.coalesce(F.when(p["value"] != "", p["value"]), p["object_label"])
     found = F.transform(F.slice(properties, 1, most), lambda p: F.when((p["predicate_label"] != "") & (value(p) != ""), verbalised(p["predicate_label"], value(p))))
-    return F.coalesce(F.array_join(F.filter(found, lambda c: c.isNotNull()), joint), EMPTY)
+    return F.coalesce(F.array_join(F.filter(found, lambda c: c.isNotNull()), joint), empty())
 
 
 PROPERTY = "array<struct<predicate_label:string,predicate_uri:string,value:string,datatype:string,object_uri:string,object_label:string,kind:string>>"
@@ -158,12 +161,12 @@ PROPERTY = "array<struct<predicate_label:string,predicate_uri:string,value:strin
 def _ordered(properties: Column) -> Column:
     """By label in lower case, then by all other fields; null fields as empty text."""
     fields = ("predicate_uri", "value", "datatype", "object_uri", "object_label", "kind")
-    keyed = F.transform(properties, lambda p: F.struct(F.lower(F.trim(p["predicate_label"])).alias("label"), *[F.coalesce(p[f], EMPTY).alias(f"k_{f}") for f in fields], p.alias("p")))
+    keyed = F.transform(properties, lambda p: F.struct(F.lower(F.trim(p["predicate_label"])).alias("label"), *[F.coalesce(p[f], empty()).alias(f"k_{f}") for f in fields], p.alias("p")))
     return F.array_sort(keyed)
 
 
 def _value(p: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(p["p"]["value"], p["p"]["object_label"], EMPTY)))
+    return F.lower(F.trim(F.coalesce(p["p"]["value"], p["p"]["object_label"], empty())))
 
 
 def common_properties(source: Column, target: Column, most: int, shared_only: bool = False, entropies: Column | None = None) -> Column:
@@ -184,7 +187,7 @@ def common_properties(source: Column, target: Column, most: int, shared_only: bo
         first, second = F.coalesce(same, F.get(mine, F.lit(0))), F.coalesce(match, F.get(theirs, F.lit(0)))
         weight = F.lit(0.0)
         if entropies is not None:
-            weight = -F.greatest(*[F.coalesce(F.try_element_at(entropies, F.coalesce(x["p"]["predicate_uri"], EMPTY)), F.lit(0.0)) for x in (first, second)])
+            weight = -F.greatest(*[F.coalesce(F.try_element_at(entropies, F.coalesce(x["p"]["predicate_uri"], empty())), F.lit(0.0)) for x in (first, second)])
         return F.struct(weight.alias("weight"), label.alias("label"), first["p"].alias("first"), second["p"].alias("second"))
 
     # only weight and label order the pairs: labels are distinct
