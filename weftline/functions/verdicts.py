@@ -88,14 +88,15 @@ def _stripped(text: Column) -> Column:
     return F.lower(F.trim(text, F.lit(STRIPPED)))
 
 
+#: The JSON documents that are answers: a boolean, or an object of the one key answer with a boolean or a text.
+JSON_ANSWER = r'^\s*(?:(true|false)|\{\s*"answer"\s*:\s*(?:(true|false)|"((?:[^"\\]|\\.)*)")\s*\})\s*$'
+
+
 def json_verdict(text: Column) -> Column:
     """A JSON boolean, or an object whose only key is answer, with a boolean or an answer word."""
-    value = F.try_parse_json(text)
-    bare = F.try_variant_get(value, "$", "boolean")
-    kind = F.schema_of_variant(value)
-    answer = F.try_variant_get(value, "$.answer", "string")
-    is_boolean, is_text = F.lower(kind) == "object<answer: boolean>", F.lower(kind) == "object<answer: string>"
-    return F.when(F.lower(kind) == "boolean", bare).when(is_boolean, answer == "true").when(is_text, token_verdict(_stripped(answer)))
+    part = lambda i: F.regexp_extract(text, JSON_ANSWER, i)
+    plain = F.concat(part(1), part(2))
+    return F.when(plain != "", plain == "true").when(part(3) != "", token_verdict(_stripped(part(3))))
 
 
 def _negated(words: Column, index: Column) -> Column:
