@@ -223,7 +223,7 @@ def _names(rows: DataFrame, names, kind: T.DataType) -> DataFrame:
         table = pa.array(names.value, pa.string())
         for batch in batches:
             lists = batch.column("items")
-            out = pa.ListArray.from_arrays(lists.offsets, table.take(lists.values)) if len(table) else list_array(np.zeros(0), np.zeros(len(batch) + 1), pa.string())
+            out = pa.ListArray.from_arrays(lists.offsets, table.take(lists.values))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out], schema.names)
 
     return rows.select(*keep, "items").mapInArrow(run, schema)

@@ -267,7 +267,9 @@ def _apart(undecided: DataFrame, classes: DataFrame, reached: DataFrame) -> Data
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of df, with all their columns, that `near_duplicates` keeps, each repeated (id, text) once."""
-    found = near_duplicates(df.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text).alias("h")).alias("_key"), text), "_key", text, **options)
+    # rows without id come last
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text).alias("h"))
+    found = near_duplicates(df.select(key.alias("_key"), text), "_key", text, **options)
     keys = written(found.where("kept").groupBy("_key").agg(F.count("*").alias("_n")), "kept")
     marked = df.withColumn("_i", F.col(id_col)).withColumn("_h", F.xxhash64(text))
 

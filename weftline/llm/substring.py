@@ -267,7 +267,7 @@ def chains(matches: DataFrame, kind: str) -> DataFrame:
         for own in _runs_of(batches, ["id", "h", "source", "source_h"]):
             if own.num_rows < 2:
                 continue
-            x, y = (own[c].to_numpy().astype(np.int64) for c in ("at", "source_at"))
+            x, y = np.unique(np.stack([own[c].to_numpy().astype(np.int64) for c in ("at", "source_at")], axis=1), axis=0).T
             key = [own[c][0].as_py() for c in ("id", "h", "source", "source_h")]
             for links in chain(x, y):
                 if len(links) > 1:
@@ -293,16 +293,16 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = written(seeds(df, id_col, text), "seeds")
     source = found.groupBy("seed").agg(F.min("id").alias("source"), F.max("id").alias("last"), F.min_by("at", F.when(F.col("first"), F.col("id"))).alias("source_at"), F.min_by("h", F.when(F.col("first"), F.col("id"))).alias("source_h"))
     source = written(source.where("source < last").drop("last"), "seed-sources")
-    matches = written(found.join(source, "seed").where("id <> source").select("id", "h", "at", "source", "source_h", "source_at").distinct(), "matches")
-    release(found, source)
+    # all tables here grow with the input: merge joins keep the plan the same at every size
+    matches = found.join(source.hint("merge"), "seed").where("id <> source").select("id", "h", "at", "source", "source_h", "source_at")
     linked = written(chains(matches, kind), "chains")
-    release(matches)
+    release(found, source)
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(text).alias("j"), F.col(text).alias("t"))
     keys = written(linked.select("id", "h").unionByName(linked.select(F.col("source").alias("id"), F.col("source_h").alias("h"))).distinct(), "chained")
-    texts = written(texts.join(keys, (F.col("i") == F.col("id")) & (F.col("j") == F.col("h")), "left_semi"), "chained-texts")
-    release()
-    own = linked.join(texts.select(F.col("i").alias("id"), F.col("j").alias("h"), F.col("t").alias("a")).dropDuplicates(["id", "h"]), ["id", "h"])
-    both = own.join(texts.select(F.col("i").alias("source"), F.col("j").alias("source_h"), F.col("t").alias("b")).dropDuplicates(["source", "source_h"]), ["source", "source_h"])
+    texts = written(texts.join(keys.hint("merge"), (F.col("i") == F.col("id")) & (F.col("j") == F.col("h")), "left_semi").groupBy("i", "j").agg(F.first("t").alias("t")), "chained-texts")
+    release(keys)
+    own = linked.join(texts.select(F.col("i").alias("id"), F.col("j").alias("h"), F.col("t").alias("a")).hint("merge"), ["id", "h"])
+    both = own.join(texts.select(F.col("i").alias("source"), F.col("j").alias("source_h"), F.col("t").alias("b")).hint("merge"), ["source", "source_h"])
     names = ["id", "h", "start", "n_words", "source", "source_start", "source_words", "similarity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
