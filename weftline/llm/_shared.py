@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import IO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,23 @@ def release(*tables: DataFrame) -> None:
     SparkSession.active()._jvm.System.gc()
 
 
+#: Bits of the filter in `perhaps_listed`: 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def perhaps_listed(df: DataFrame, key: Column, listed: DataFrame, listed_key: str) -> DataFrame:
+    """The rows of df whose 64-bit key is listed, and some others: those that share a bit with a listed key. It goes before a join
+    with the list, so that most other rows needn't be shuffled; what is sent to the executors has a fixed size."""
+    place = lambda c: F.pmod(c, F.lit(FILTER_BITS)) + 1
+    at = place(F.col(listed_key))
+    maps = listed.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    columns = df.columns
+    rows = df.withColumn("_at", place(key)).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(maps), "_bucket")  # 2048 rows of 4 KB at most
+    bit = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return rows.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).select(*columns)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder below the shared one, by Spark's own file system classes."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

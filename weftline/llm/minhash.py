@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import written
+from weftline.llm._shared import perhaps_listed, release, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, mix64, row_ranges, shingle_hashes, span_hashes, stream64, word_spans
 from weftline.llm.graph import components
 
@@ -169,7 +169,7 @@ def _not_excluded(pairs: DataFrame, classes: DataFrame, similar: tuple[int, int]
     own = classes.select("node", "n_shingles", "registers")
     rows = pairs
     for c in "ab":
-        rows = rows.join(own.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}")), c)
+        rows = rows.join(own.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}")).hint("merge"), c)
         if c == "b":
             rows = rows.where(F.least("n_a", "n_b") * similar[1] >= F.greatest("n_a", "n_b") * similar[0])
 
@@ -187,13 +187,15 @@ def _not_excluded(pairs: DataFrame, classes: DataFrame, similar: tuple[int, int]
 
 def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text: str, k: int, similar: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep"), "node"), "wanted")
+    # all tables here grow with the input: merge joins keep the plan the same at every size
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep").hint("merge"), "node"), "wanted")
     texts = df.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text).alias("h")).alias("rep"), F.col(text).alias("text"))
-    texts = texts.join(wanted, (texts["rep.i"].eqNullSafe(wanted["rep.i"])) & (texts["rep.h"] == wanted["rep.h"])).select("node", "text")
+    texts = perhaps_listed(texts, F.col("rep.h"), wanted.select(F.col("rep.h").alias("h")), "h")
+    texts = texts.join(wanted.hint("merge"), (texts["rep.i"].eqNullSafe(wanted["rep.i"])) & (texts["rep.h"] == wanted["rep.h"])).select("node", "text")
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "wanted-texts")
     rows = pairs
     for c in "ab":
-        rows = rows.join(texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}")), c)
+        rows = rows.join(texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}")).hint("merge"), c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,6 +235,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     shared = written(band_keys(classes, coarse).join(pivots, "bucket"), "buckets")
     stars = written(_not_excluded(shared.where("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), classes, similar), "pairs")
     links = _verified(stars, df, classes, id_col, text, k, similar)
+    release(pivots)
     reached = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # what shares a bucket and is still apart
     apart = _apart(_mixed(shared.select("bucket", "node"), reached).select("node").distinct(), classes, reached)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import release, written
+from weftline.llm._shared import perhaps_listed, release, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, row_ranges, shingle_hashes, span_hashes, word_spans
 
 K, WINDOW = 5, 20
@@ -299,6 +299,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     release(found, source)
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(text).alias("j"), F.col(text).alias("t"))
     keys = written(linked.select("id", "h").unionByName(linked.select(F.col("source").alias("id"), F.col("source_h").alias("h"))).distinct(), "chained")
+    texts = perhaps_listed(texts, F.col("j"), keys, "h")
     texts = written(texts.join(keys.hint("merge"), (F.col("i") == F.col("id")) & (F.col("j") == F.col("h")), "left_semi").groupBy("i", "j").agg(F.first("t").alias("t")), "chained-texts")
     release(keys)
     own = linked.join(texts.select(F.col("i").alias("id"), F.col("j").alias("h"), F.col("t").alias("a")).hint("merge"), ["id", "h"])
