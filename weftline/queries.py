@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -399,43 +400,123 @@ def _(spark, d):
 
 # ---- questions
 
+def _property(label: str, value=None, datatype: str | None = None, other=None):
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(label).alias("predicate_label"), F.lit(f"#{label}").alias("predicate_uri"), (none if value is None else value).alias("value"), F.lit(datatype).cast("string").alias("datatype"), none.alias("object_uri"), (none if other is None else other).alias("object_label"), none.alias("kind"))
+
+
 def _entities(spark, d) -> DataFrame:
-    """Nations as classes: the region is the parent and the name's first letters are a synonym."""
+    """Nations as classes (e), properties (q) and instances (i): the region is the parent, the name's first letters are a synonym."""
     n = W.table(spark, d, "nation").join(W.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     none = F.array().cast("array<string>")
     return n.select(
         F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("region"),
         F.struct(F.array("n_name").alias("names"), F.array(F.col("n_name"), F.left("n_name", F.lit(3))).alias("all_names"), F.array(F.left("n_name", F.lit(3))).alias("synonyms"), F.col("n_name").alias("own_name"), F.col("r_name").alias("parent"), F.array(F.array("r_name")).alias("parent_names"), F.array(none).alias("child_names"), F.array("n_name", "r_name").alias("levels"), F.array(F.array(F.left("n_name", F.lit(3))), none).alias("level_synonyms"), F.array(F.lit("A"), F.lit("B")).alias("siblings"),
-                 F.array().cast("array<struct<restriction_type:string,property_name:string,filler_name:string,cardinality:int>>").alias("restrictions"), F.array(F.lit("has part")).alias("as_domain"), none.alias("as_range")).alias("e"),
+                 F.array(F.struct(F.lit("some").alias("restriction_type"), F.lit("part of").alias("property_name"), F.col("r_name").alias("filler_name"), F.lit(None).cast("int").alias("cardinality"))).alias("restrictions"), F.array(F.lit("has part")).alias("as_domain"), none.alias("as_range")).alias("e"),
+        F.struct(F.array("n_name").alias("names"), F.col("n_name").alias("own_name"), F.array(F.left("n_name", F.lit(3))).alias("synonyms"), F.array("r_name").alias("domain"), F.array(F.lit("Thing")).alias("range"), F.array(F.lit("place")).alias("domain_synonyms"), none.alias("range_synonyms"), F.lit(False).alias("is_data"), F.array(F.lit("functional")).alias("characteristics"), F.left("n_name", F.lit(3)).alias("inverse")).alias("q"),
+        F.struct(F.array("n_name").alias("names"), F.col("n_name").alias("uri"), F.array(F.lit("Nation")).alias("types"), F.array(_property("number", F.col("n_nationkey").cast("string"), "integer"), _property("code", F.left("n_name", F.lit(3)))).cast(X.PROPERTY).alias("data"), F.array(_property("region", None, None, F.col("r_name"))).cast(X.PROPERTY).alias("object")).alias("i"),
     )
 
 
-def _question_sql(body: str) -> str:
+def _question_sql(lines: list[str]) -> str:
+    """A question as SQL: {a.n} and the like stand for columns of the two nations."""
+    parts = re.split(r"\{([ab]\.\w)\}", "\n".join(lines))
+    body = " || ".join(x if i % 2 else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for i, x in enumerate(parts))
     return f"WITH n AS (SELECT n_nationkey AS k, n_name AS n, r_name AS p, left(n_name, 3) AS y, n_regionkey AS g FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT a.k AS source, b.k AS target, {body} AS prompt FROM n a JOIN n b ON a.g <> b.g"
 
 
-_ONE = "'\"' || {0}.n || '\", also known as \"' || {0}.y || '\"'"
+def _pair(line: str) -> list[str]:
+    """The line about the first entity and that about the second; @ stands for either."""
+    return [f"The {x} one is " + line.replace("@", e) for x, e in (("first", "a"), ("second", "b"))]
+
+
+_PRE = "We have two entities from different ontologies."
+_END = 'Respond with a JSON object: {"answer": true} or {"answer": false}.'
+_ASK = f"\nDo they mean the same thing? {_END}"
+_SYN = '"{@.n}", also known as "{@.y}"'
+_CAT = ', which falls under the category "{@.p}"'
+_SIB = ' Other "{@.p}" concepts include "A" and "B".'
+_IS = '\nIf something is a "{a.n}", is it also a "{b.n}"'
+_TWO = "\nFor these to be the same concept, BOTH of the following must be true:"
+_ARE = f"\nAre both statements true? {_END}"
+_GIVEN = "Given two entities from different ontologies with their names{0}, determine if these concepts are the same:\n"
+
+
+def _block(head: str, fields: list[str], end: str, mark: str = "") -> list[str]:
+    out = [head]
+    for i, x, e in ((1, "Source", "a"), (2, "Target", "b")):
+        out += [f"    {i}. {mark}{x} Entity:{mark}", *["    " + f.replace("@", e).replace("*", mark) for f in fields], ""]
+    return [*out, "    " + end]
+
+
+_ALL, _PREF, _PAR, _KID = "*All Entity names:* ['{@.y}', '{@.n}']", "*All Entity names:* ['{@.n}']", "*Parent Entity Namings:* [['{@.p}']]", "*Child Entity Namings:* [[]]"
+_TF = "Response with True or False"
 _QUESTIONS = {
-    "synonyms_only": "'We have two entities from different ontologies.' || chr(10) || 'The first one is ' || " + _ONE.format("a") + " || '.' || chr(10) || 'The second one is ' || " + _ONE.format("b") + " || '.' || chr(10) || chr(10) || 'Do they mean the same thing? Respond with a JSON object: {\"answer\": true} or {\"answer\": false}.'",
-    "one_level_of_parents": "'We have two entities from different ontologies.' || chr(10) || 'The first one is \"' || a.n || '\", which belongs to the broader category \"' || a.p || '\"' || chr(10) || 'The second one is \"' || b.n || '\", which belongs to the broader category \"' || b.p || '\"' || chr(10) || chr(10) || 'Do they mean the same thing? Respond with a JSON object: {\"answer\": true} or {\"answer\": false}.'",
-    "sub_parents_synonyms": "'We have two entities from different ontologies.' || chr(10) || 'The first one is ' || " + _ONE.format("a") + " || ', which falls under the category \"' || a.p || '\".' || chr(10) || 'The second one is ' || " + _ONE.format("b") + " || ', which falls under the category \"' || b.p || '\".' || chr(10) || chr(10) || 'If something is a \"' || a.n || '\", is it also a \"' || b.n || '\"? ' || chr(10) || chr(10) || 'Respond with a JSON object: {\"answer\": true} or {\"answer\": false}.'",
-    "equiv_parents_siblings": "'We have two entities from different ontologies.' || chr(10) || 'The first one is \"' || a.n || '\", which falls under the category \"' || a.p || '\". Other \"' || a.p || '\" concepts include \"A\" and \"B\".' || chr(10) || 'The second one is \"' || b.n || '\", which falls under the category \"' || b.p || '\". Other \"' || b.p || '\" concepts include \"A\" and \"B\".' || chr(10) || chr(10) || 'Do they mean the same thing? Respond with a JSON object: {\"answer\": true} or {\"answer\": false}.'",
+    "all_data_dummy": _block("**Task Description:**\n    " + _GIVEN.format(", parent relationships, and child relationships"), [_PREF, _PAR, _KID], 'Write "Yes" if the entities refer to the same concepts, and "No" otherwise.', "**"),
+    "only_names": _block(_GIVEN.format(""), [_ALL], _TF),
+    "with_hierarchy": _block(_GIVEN.format(", parent relationships, and child relationships"), [_ALL, _PAR, _KID], _TF),
+    "only_with_parents": _block(_GIVEN.format(" and parent relationships"), [_ALL, _PAR], _TF),
+    "only_with_children": _block(_GIVEN.format(" and child relationships"), [_ALL, _KID], _TF),
+    "one_level_of_parents_structured": ["Analyze the following entities, each originating from a distinct ontology.", "Your task is to assess whether they represent the **same ontological concept**, considering both their semantic meaning and hierarchical position.", '\n1. Source entity: "{a.n}"', "\t- Direct ontological parent: {a.p}", '\n2. Target entity: "{b.n}"', "\t- Direct ontological parent: {b.p}", f"\nAre these entities **ontologically equivalent** within their respective ontologies? {_END}"],
+    "two_levels_of_parents_structured": ["Analyze the following entities, each originating from a distinct ontology.", "Each is represented by its **ontological lineage**, capturing its hierarchical placement from the most general to the most specific level.", "\n1. Source entity ontological lineage:\n\tLevel 0: {a.n}\n\tLevel 1: {a.p}", "\n2. Target entity ontological lineage:\n\tLevel 0: {b.n}\n\tLevel 1: {b.p}", f"\nBased on their **ontological positioning, hierarchical relationships, and semantic alignment**, do these entities represent the **same ontological concept**? {_END}"],
+    "one_level_of_parents": [_PRE, *_pair('"{@.n}", which belongs to the broader category "{@.p}"'), _ASK],
+    "two_levels_of_parents": [_PRE, *_pair('"{@.n}", which belongs to the broader category "{@.p}"'), _ASK],
+    "one_level_of_parents_and_synonyms": [_PRE, *_pair(_SYN + _CAT + "."), _ASK],
+    "eacl_direct_entity_with_synonyms": ["We have two entities from different biomedical ontologies.", *_pair(_SYN + _CAT + "."), '\nDo they mean the same thing? Respond with "True" or "False".'],
+    "two_levels_of_parents_and_synonyms": [_PRE, *_pair(_SYN + ', belongs to broader category "{@.p}".'), _ASK],
+    "synonyms_only": [_PRE, *_pair(_SYN + "."), _ASK],
+    "sub_labels_only": [_PRE, *_pair(_SYN + "."), _IS + "? ", "\n" + _END],
+    "sub_parents_synonyms": [_PRE, *_pair(_SYN + _CAT + "."), _IS + "? ", "\n" + _END],
+    "sub_syns_conj_parent": [_PRE, *_pair(_SYN + _CAT + "."), _IS + ' and a "{b.p}"? ', "\n" + _END],
+    "equiv_test_for_ancestral_disjointness": [_PRE, *_pair(_SYN + "."), '\nCan something be a "{a.n}" and a "{a.p}" at the same time as being a "{b.n}" and a "{b.p}"?', "\n" + _END],
+    "equiv_with_ancestral_disjointness": [_PRE, *_pair(_SYN + "."), '\nIf something is a "{a.n}" and a "{a.p}", is it also a "{b.n}" and a "{b.p}"?', "\n" + _END],
+    "single_subs": [_PRE, *_pair(_SYN + "."), _TWO, '1. Every "{a.n}" is also a "{b.n}".', '2. Every "{b.n}" is also a "{a.n}".', _ARE],
+    "single_subs_with_parents": [_PRE, *_pair(_SYN + _CAT + "."), _TWO, '1. Every "{a.n}" is also a "{b.n}".', '2. Every "{b.n}" is also a "{a.n}".', _ARE],
+    "single_subs_with_conj_parent": [_PRE, *_pair(_SYN + _CAT + "."), _TWO, '1. Every "{a.n}" is also a "{b.n}" and a "{b.p}".', '2. Every "{b.n}" is also a "{a.n}" and a "{a.p}".', _ARE],
+    "deductive_equiv": [_PRE, "Consider the following facts:", '- "{a.n}" is a kind of "{a.p}" (Ontology 1)', '- "{a.n}" is also known as "{a.y}" (Ontology 1)', '- "{b.n}" is a kind of "{b.p}" (Ontology 2)', '- "{b.n}" is also known as "{b.y}" (Ontology 2)', '\nGiven these facts, can you conclude that "{a.n}" (Ontology 1) and "{b.n}" (Ontology 2) refer to the same real-world concept? ' + _END],
+    "falsification_equiv": [_PRE, *_pair(_SYN + _CAT + "." + _SIB), '\nFirst consider: could something classified as a "{a.p}" in one ontology plausibly also be classified as a "{b.p}" in another? If the categories suggest entirely different domains, the concepts are unlikely to match. If the categories are compatible or overlapping, the concepts may well match.', '\nDo "{a.n}" (a "{a.p}") and "{b.n}" (a "{b.p}") refer to the same concept? ' + _END],
+    "equiv_parents_siblings": [_PRE, *_pair('"{@.n}"' + _CAT + "." + _SIB), _ASK],
+    "equiv_parents_synonyms_siblings": [_PRE, *_pair(_SYN + _CAT + "." + _SIB), _ASK],
+    "class_with_restrictions": [_PRE, *_pair(_SYN + '. It relates to some "{@.p}" via "part of".'), _ASK[1:]],
+    "class_role_signature": [_PRE, *_pair(_SYN + '. In its ontology, it appears as the domain of "has part".'), _ASK[1:]],
+}
+_REL = f"Do these properties represent the same relationship? {_END}"
+_SAME = f"Do these refer to the same entity? {_END}"
+
+
+def _kinds(noun: str, line: str, last: str | None = None) -> list[str]:
+    return [f"The first {noun}is " + line.replace("@", "a"), f"The second {noun}is " + (last or line).replace("@", "b")]
+
+
+_DR = ' which connects "{@.p}" to "Thing"'
+_QUESTIONS |= {
+    "prop_labels_only": [_PRE, *_kinds("property ", '"{@.n}".'), _REL],
+    "prop_domain_range": [_PRE, *_kinds("property ", '"{@.n}"' + _DR + "."), _REL],
+    "prop_domain_range_synonyms": [_PRE, *_kinds("property ", '"{@.n}" (also known as "{@.y}") which connects "{@.p}" (also known as "place") to "Thing"'), _REL],
+    "prop_with_inverse_and_chars": [_PRE, *_kinds("property ", '"{@.n}"' + _DR + '. It is a functional property and the inverse of "{@.y}".'), _REL],
+    "inst_labels_only": [_PRE, *_kinds("", '"{@.n}".', '"{@.n}"'), _SAME],
+    "inst_labels_with_types": [_PRE, *_kinds("", '"{@.n}", which is a "Nation".'), _SAME],
 }
+_SOME, _FULL = '"{@.n}", which is a "Nation" and is "code" "{@.y}" and is "number" {@.k} and is "region" "{@.p}".', '"{@.n}", which is a "Nation" and has attributes: is "code" "{@.y}" and is "number" {@.k} and has relationships: is "region" "{@.p}".'
+_BY_ENTROPY = '"{@.n}", which is a "Nation" and is "number" {@.k} and is "code" "{@.y}" and is "region" "{@.p}".', '"{@.n}", which is a "Nation" and has attributes: is "number" {@.k} and is "code" "{@.y}" and has relationships: is "region" "{@.p}".'
+for _base, _line, _other in (("inst_types_and_attributes", _SOME, _BY_ENTROPY[0]), ("inst_full_context", _FULL, _BY_ENTROPY[1])):
+    _QUESTIONS |= {_base: [_PRE, *_kinds("", _line), _SAME], f"{_base}_intersect": [_PRE, *_kinds("", _line), _SAME], f"{_base}_entropy": [_PRE, *_kinds("", _other), _SAME]}
 
 
 def _question(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = _entities(spark, d)
-        a, b = rows.select(F.col("key").alias("source"), F.col("region").alias("g"), F.col("e").alias("a")), rows.select(F.col("key").alias("target"), F.col("region").alias("h"), F.col("e").alias("b"))
+        e = F.col({"CLS": "e", "OPROP": "q", "INST": "i"}[T.REGISTRY[name].kind])
+        a, b = rows.select(F.col("key").alias("source"), F.col("region").alias("g"), e.alias("a")), rows.select(F.col("key").alias("target"), F.col("region").alias("h"), e.alias("b"))
         pairs = a.join(b, F.col("g") != F.col("h"))  # 25 nations
-        return pairs.select("source", "target", T.question(name, F.col("a"), F.col("b")).alias("prompt"))
+        context = T.Context(entropies=F.create_map(F.lit("#number"), F.lit(4.6)))
+        return pairs.select("source", "target", T.question(name, F.col("a"), F.col("b"), context).alias("prompt"))
 
     return run
 
 
 for _name in T.REGISTRY:
-    if T.REGISTRY[_name].kind == "CLS":
-        query(f"question_{_name}", _question_sql(_QUESTIONS[_name]) if _name in _QUESTIONS else None)(_question(_name))
+    query(f"question_{_name}", _question_sql(_QUESTIONS[_name]))(_question(_name))
 
 
 @query("common_properties", None)
