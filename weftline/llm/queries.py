@@ -44,10 +44,34 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END)) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+f AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM f UNION ALL SELECT y, x FROM f),
+r AS (SELECT doc_id AS v, doc_id AS t FROM documents UNION SELECT r.v, e.y FROM r JOIN e ON r.t = e.x),
+m AS (SELECT v, min(t) AS component_id FROM r GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.v = d.doc_id
+"""
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) >= 0.95),
+r AS (SELECT vec_id AS s, vec_id AS t FROM u UNION SELECT r.s, l.y FROM r JOIN l ON r.t = l.x),
+m AS (SELECT s, min(t) AS component_id FROM r GROUP BY s),
+c AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM u JOIN m ON m.s = vec_id LEFT JOIN c ON c.x = vec_id
+"""
+
+
 def op5_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenstore.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return tokenstore.read_tokens(files)
@@ -92,4 +116,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_embeddings": op4_embeddings, "op5_tokenstore": op5_tokenstore, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_substring": op8_substring, "op9_tokencounts": op9_tokencounts, "op10_langid": op10_langid}
-SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_warc": OP7_SQL}
+SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op3_minhash": OP3_SQL, "op4_embeddings": OP4_SQL, "op7_warc": OP7_SQL}
