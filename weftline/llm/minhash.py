@@ -232,39 +232,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     classes = written(classes.withColumn("rep", F.struct(F.col("rep.id").alias("i"), F.coalesce("rep.h", "h").alias("h"))).drop("h").withColumn("node", F.monotonically_increasing_id()), "classes")
     coarse = bands_of(BANDS, BAND, True)
     pivots = written(band_keys(classes, coarse).groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot"), "pivots")
-    shared = written(band_keys(classes, coarse).join(pivots, "bucket"), "buckets")
+    shared = written(band_keys(classes, coarse).join(pivots.hint("merge"), "bucket"), "buckets")
     stars = written(_not_excluded(shared.where("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), classes, similar), "pairs")
     links = _verified(stars, df, classes, id_col, text, k, similar)
     release(pivots)
     reached = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # what shares a bucket and is still apart
     apart = _apart(_mixed(shared.select("bucket", "node"), reached).select("node").distinct(), classes, reached)
-    rest = written(_not_excluded(apart.join(stars, ["a", "b"], "left_anti"), classes, similar), "pairs")
+    rest = written(_not_excluded(apart.join(stars.hint("merge"), ["a", "b"], "left_anti"), classes, similar), "pairs")
     more = _verified(rest, df, classes, id_col, text, k, similar)
     reached = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = classes.select("set_print", "node", "least").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("set_print", "node", "least").join(reached.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(named.join(least, "root").select("set_print", "component_id"), "named")
-    out = drawn.select("id", "n_shingles", "set_print").join(named, "set_print", "left")
+    named = written(named.join(least.hint("merge"), "root").select("set_print", "component_id"), "named")
+    out = drawn.select("id", "n_shingles", "set_print").join(named.hint("merge"), "set_print", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def _mixed(rows: DataFrame, reached: DataFrame) -> DataFrame:
     """(bucket, node, root): the members of buckets that hold several components."""
-    rows = rows.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.join(reached.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    return rows.join(written(mixed, "mixed"), "bucket")
+    return rows.join(written(mixed, "mixed").hint("merge"), "bucket")
 
 
 def _apart(undecided: DataFrame, classes: DataFrame, reached: DataFrame) -> DataFrame:
     """Pairs (a, b) of undecided nodes that share a fine bucket and lie in different components. In each bucket the members outside
     its largest component meet all members of other components; members of one component never meet."""
-    undecided = written(classes.select("node", "registers").join(written(undecided, "undecided"), "node", "left_semi"), "undecided")
+    undecided = written(classes.select("node", "registers").join(written(undecided, "undecided").hint("merge"), "node", "left_semi"), "undecided")
     rows = written(_mixed(band_keys(undecided, bands_of(FINE_BANDS, FINE_BAND, False)), reached), "fine-buckets")
     major = written(rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max("n").alias("n"), F.max_by("root", "n").alias("major")).select("bucket", "major"), "majors")
-    minor = rows.join(major, "bucket").where("root <> major").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), "major")
-    pairs = minor.join(rows.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry")), "bucket").where("rx <> ry AND (ry = major OR x < y)")
+    minor = rows.join(major.hint("merge"), "bucket").where("root <> major").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), "major")
+    pairs = minor.join(rows.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry")).hint("merge"), "bucket").where("rx <> ry AND (ry = major OR x < y)")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
