@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm._shared import lean
 from weftline.llm._text import column_bytes, gather, list_array, row_ranges, span_hashes
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
@@ -266,7 +267,7 @@ class Encoded:
         self.low, self.high, self.offsets, self.ids, self.data, self.at = low, high, offsets, ids, data, at
 
 
-def encode_blocks(columns: Iterator[pa.Array], words: WordCache, block: int = 12 << 20, chunk: int = 2 << 20) -> Iterator[tuple[int, Encoded]]:
+def encode_blocks(columns: Iterator[pa.Array], words: WordCache, block: int = 6 << 20, chunk: int = 1 << 20) -> Iterator[tuple[int, Encoded]]:
     """Encodes string columns; gives (number of the column, rows) in order. A block may span several columns."""
     waiting: list = []
     fresh_hashes: list[np.ndarray] = []
@@ -348,6 +349,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids",
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else []))
     at = kept.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from encode_batches(batches, at, _replay_cache(ranks_path), [*kept, *outputs], lambda x: _output(x, ranks_path, bool(decoded)))
 
@@ -384,6 +386,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(decoded, T.BinaryType())])
     at = kept.index(ids)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(at)

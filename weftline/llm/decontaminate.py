@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import written
+from weftline.llm._shared import lean, written
 from weftline.llm._text import ALNUM, LOWER, column_bytes, list_array, row_ranges, span_hashes, word_spans
 
 #: Words in a window of a test item.
@@ -97,6 +97,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text: str = "text", terms
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.ArrayType(t)) for c, t in (("row_at", T.IntegerType()), ("term", T.LongType()), ("list_at", T.IntegerType()), ("gap", T.IntegerType())))])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -127,6 +128,7 @@ def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("id", kind), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "lengths", "items"))])
     sent = index.sparkSession.sparkContext.broadcast(phrases)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
@@ -219,6 +221,7 @@ def _names(rows: DataFrame, names, kind: T.DataType) -> DataFrame:
     schema = T.StructType([*(f for f in rows.schema if f.name != "items"), T.StructField("items", kind)])
     keep = [f.name for f in rows.schema if f.name != "items"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(names.value, pa.string())
         for batch in batches:

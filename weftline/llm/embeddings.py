@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import written
+from weftline.llm._shared import lean, written
 from weftline.llm._text import list_array, mix64
 from weftline.llm.graph import components
 
@@ -139,6 +139,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     shape = {d: tables_for(n, d) for d, n in dims}
     kind = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("v", T.ArrayType(df.schema[vector].dataType.elementType)), T.StructField("names", T.ArrayType(T.LongType()))])
 
+    @lean
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = np.diff(np.asarray(batch.column("v").offsets))
@@ -163,6 +164,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "weight", "v", "names")
     groups = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
 
+    @lean
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(part: pa.Table | pa.RecordBatch) -> pa.RecordBatch | None:
             n = len(part)

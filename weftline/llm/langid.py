@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import written
+from weftline.llm._shared import lean, written
 from weftline.llm._text import column_bytes, mix64, row_ranges, span_hashes, stream64
 from weftline.llm.bpe import _LETTER, _char_classes
 
@@ -150,6 +150,7 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", sample_rows: i
     if total > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column(1).to_pylist()
@@ -207,6 +208,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     at = kept.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, texts in _texts(batch.column(at)):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import perhaps_listed, release, written
+from weftline.llm._shared import lean, perhaps_listed, release, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, mix64, row_ranges, shingle_hashes, span_hashes, stream64, word_spans
 from weftline.llm.graph import components
 
@@ -121,6 +121,7 @@ def sketches(df: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
     schema = T.StructType([*df.schema, T.StructField("n_shingles", T.LongType()), T.StructField("set_print", T.BinaryType()), T.StructField("registers", T.BinaryType())])
     at = kept.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = SetSketch()
         for batch in batches:
@@ -151,6 +152,7 @@ def band_keys(classes: DataFrame, chosen: np.ndarray) -> DataFrame:
     register numbers for each band."""
     bands, band = chosen.shape
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = stream64(71, bands * band).reshape(bands, band) | np.uint64(1)
         salt = stream64(73, bands)
@@ -173,6 +175,7 @@ def _not_excluded(pairs: DataFrame, classes: DataFrame, similar: tuple[int, int]
         if c == "b":
             rows = rows.where(F.least("n_a", "n_b") * similar[1] >= F.greatest("n_a", "n_b") * similar[0])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, least = SetSketch(), similar[0] / similar[1]
         for batch in batches:
@@ -197,6 +200,7 @@ def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str,
     for c in "ab":
         rows = rows.join(texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}")).hint("merge"), c)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm._shared import lean
 from weftline.llm._text import ALNUM, LOWER, NOT_SPACE, column_bytes, mix64, row_ranges, span_hashes, stream64, word_spans
 
 #: Longer words also count by their first bytes.
@@ -166,6 +167,7 @@ def train(df: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
         rated = rated.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
     rows = df.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(rated), "i")  # of a bounded size by the sample
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column(2))
@@ -196,6 +198,7 @@ def grade(df: DataFrame, model: OrdinalModel | None, text: str = "text", n_grade
     schema = T.StructType([*df.schema, T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))])
     at = kept.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column(at))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import perhaps_listed, release, written
+from weftline.llm._shared import lean, perhaps_listed, release, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, row_ranges, shingle_hashes, span_hashes, word_spans
 
 K, WINDOW = 5, 20
@@ -59,6 +59,7 @@ def winnow(hashes: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.nda
 def seeds(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """(seed, id, h, at, first): the seeds of each text with words at k-mer `at`; first: the text's first place of that seed."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column(2))
@@ -255,6 +256,7 @@ def chains(matches: DataFrame, kind: str) -> DataFrame:
     """(id, h, source, source_h, xs, ys): the chains of two matches or more of each text with each source."""
     schema = f"id {kind}, h long, source {kind}, source_h long, xs array<int>, ys array<int>"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
@@ -306,6 +308,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     both = own.join(texts.select(F.col("i").alias("source"), F.col("j").alias("source_h"), F.col("t").alias("b")).hint("merge"), ["source", "source_h"])
     names = ["id", "h", "start", "n_words", "source", "source_start", "source_words", "similarity"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -339,6 +342,7 @@ def without_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     at = columns.index(text)
     rows = df.withColumn("_k", F.xxhash64(text)).join(found, (F.col(id_col) == F.col("_i")) & (F.col("_k") == F.col("_h")), "left").select(*columns, "_spans")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column("_spans")

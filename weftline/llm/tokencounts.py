@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm._shared import lean
 from weftline.llm._text import list_array
 from weftline.llm.bpe import Encoded, _replay_cache, _token_bytes, encode_batches
 
@@ -77,6 +78,7 @@ def count_lines(df: DataFrame, ranks_path: str, text: str = "text", rule: str =
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.DoubleType() if split else T.LongType())), T.StructField(names[2], T.LongType())])
     at = kept.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.diff(_token_bytes(ranks_path)[0])
 
@@ -107,6 +109,7 @@ def count_fields(df: DataFrame, ranks_path: str, fields: list[str], separator: s
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.DoubleType() if split else T.LongType())), T.StructField(names[2], T.LongType())])
     all_names = [*kept, "_whole", "_sizes"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.diff(_token_bytes(ranks_path)[0])
         sizes: list[np.ndarray] = []

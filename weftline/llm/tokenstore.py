@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import fresh_dir, open_new, open_old, written
+from weftline.llm._shared import fresh_dir, lean, open_new, open_old, written
 from weftline.llm.bpe import WordCache, encode_blocks
 
 FRAME = 256 << 10
@@ -187,6 +187,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int | None, folder:
     folder = folder or fresh_dir(spark, "tokens")
     schema = "path string, n_docs long, n_tokens long, n_bytes long"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         held: dict[int, pa.Array] = {}
@@ -229,6 +230,7 @@ def read_tokens(files: DataFrame, id_col: str = "doc_id", id_type: str = "long",
     schema = f"{id_col} {id_type}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
@@ -255,6 +257,7 @@ def read_documents(spark: SparkSession, wanted: DataFrame, files: DataFrame, id_
     frames that hold them and no others: id_col, document, path, ids, frames_read (of that file, so far)."""
     schema = f"path string, document long, {id_col} {id_type}, ids array<long>, frames_read long"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in dict.fromkeys(batch.column("path").to_pylist()):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import fresh_dir, open_new, open_old, written
+from weftline.llm._shared import fresh_dir, lean, open_new, open_old, written
 
 CHUNK = 1 << 20
 FILE = 256 << 20
@@ -189,6 +189,7 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
     again = written(seen.select("sha", "first"), "repeated-payloads")
     rows = rows.join(again, "sha", "left").withColumn("first", F.when(F.col("first") != F.coalesce("id", F.col("first") - 1), F.col("first")))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
 
@@ -250,6 +251,7 @@ def chunks(files: DataFrame, size: int = CHUNK, payload: bool = False) -> DataFr
                 row = (path, record, c.number, c.last, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("x-row-id"), h.get("x-refers-to-row-id"), h.get("warc-payload-digest"), int(length) if length.isdigit() else None, c.offset, len(c.payload), c.digest)
                 yield (*row, c.payload) if payload else row
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
