@@ -144,4 +144,5 @@ def logprob_confidence(tokens: Column, value: Column) -> Column:
     every = F.concat(F.array(F.struct(first["token"].alias("token"), first["logprob"].alias("logprob"))), F.coalesce(F.transform(first["top_logprobs"], lambda e: F.struct(e["token"].alias("token"), e["logprob"].alias("logprob"))), F.array().cast("array<struct<token:string,logprob:double>>")))
     fitting = F.filter(every, lambda e: F.when(side, clean(e["token"]).isin(*POSITIVE)).otherwise(clean(e["token"]).isin(*NEGATIVE)) & e["logprob"].isNotNull())
     best = F.array_max(F.transform(fitting, lambda e: e["logprob"]))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(best))), F.lit(float("nan")))
+    # least and greatest skip nulls
+    return F.when(best.isNull(), F.lit(float("nan"))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(best))))
