@@ -206,6 +206,16 @@ def test_chains_and_alignment():
     assert substring.align(np.array([1, 2, 3, 4, 5]), np.array([1, 3, 4, 5])) == [(0, 0, 1), (2, 1, 3)]
 
 
+@pytest.mark.parametrize(("first", "between", "second"), [(200, 30, 60), (200, 30, 140), (200, 20, 90), (200, 11, 54), (60, 40, 200), (120, 10, 50)])
+def test_two_passages_of_one_source(first, between, second):
+    rng = np.random.default_rng(first + between)
+    one, two, x, y = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (first, second, between, between))
+    at = np.array([0, 40, first + between + 10, first + between + 40])
+    found = substring.passages(np.r_[one, x, two], np.r_[one, y, two], at, at)
+    got = {w for p in found for w in range(p[0], p[0] + p[1])}
+    assert got >= {*range(first), *range(first + between, first + between + second)}
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)

@@ -185,6 +185,11 @@ def _beyond(a: np.ndarray, b: np.ndarray, reach: int = 24) -> list[tuple[int, in
             return runs
 
 
+def _apart(one: tuple[int, int, int], other: tuple[int, int, int]) -> int:
+    """Words between two runs, in the text that has more of them."""
+    return max(other[0] - one[0] - one[2], other[1] - one[1] - one[2])
+
+
 def _similarity(a: np.ndarray, b: np.ndarray, k: int) -> float:
     x, y = (np.unique(shingle_hashes(w, np.zeros(len(w), np.int64), k)[0]) for w in (a, b))
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -206,20 +211,22 @@ def passages(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int
     p, q = int(x[-1]) + k, int(y[-1]) + k
     runs += [(u + p, v + q, n) for u, v, n in _beyond(a[p:], b[q:])]
     runs = _joined(runs)
-    # stretches in which the words that agree outweigh those that differ
-    out, group, score = [], [], 0
-    stretches = []
-    for run in runs:
-        lost = EDIT * max(run[0] - group[-1][0] - group[-1][2], run[1] - group[-1][1] - group[-1][2]) if group else 0
-        if group and score <= lost:
-            stretches.append(group)
-            group, score, lost = [], 0, 0
-        group.append(run)
-        score += run[2] - lost
-    stretches.append(group)
-    for group in stretches:
-        while len(group) > 1 and group[-1][2] < EDIT * max(group[-1][0] - group[-2][0] - group[-2][2], group[-1][1] - group[-2][1] - group[-2][2]):
+    out: list[tuple[int, int, int, int, float]] = []
+    todo = [runs]
+    while todo:
+        waiting = todo.pop()
+        # a stretch in which the words that agree outweigh those that differ; what follows it is a stretch of its own
+        group, score = waiting[:1], waiting[0][2]
+        for run in waiting[1:]:
+            lost = EDIT * _apart(group[-1], run)
+            if score <= lost:
+                break
+            group.append(run)
+            score += run[2] - lost
+        while len(group) > 1 and group[-1][2] < EDIT * _apart(*group[-2:]):
             group.pop()
+        if len(group) < len(waiting):
+            todo.append(waiting[len(group) :])
         for part in (group, *([r] for r in group if len(group) > 1)):
             i, j, (u, v, n) = part[0][0], part[0][1], part[-1]
             if u + n - i >= least:
