@@ -216,6 +216,38 @@ def test_two_passages_of_one_source(first, between, second):
     assert got >= {*range(first), *range(first + between, first + between + second)}
 
 
+@pytest.mark.parametrize(("times", "words"), [(6, 10), (8, 10), (15, 6), (20, 5)])
+def test_passages_of_repeated_lines(spark, times, words):
+    rng = random.Random(times)
+    word = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    out, begins = [], {}
+    for k in range(12):
+        line = word(words)
+        for i in (2 * k, 2 * k + 1):
+            begins[i] = rng.randint(30, 60)
+            # the line also stands alone before the passage in the source
+            before = word(begins[i]) if i % 2 else line + " " + word(begins[i])
+            out.append((i, " ".join([before, *[line] * times, word(40)])))
+    got = {}
+    for r in substring.repeated_passages(spark.createDataFrame(out, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+    for i in range(1, 24, 2):
+        assert set(range(begins[i], begins[i] + times * words)) <= got[i]
+
+
+def test_one_seed_is_enough(spark):
+    rng = random.Random(2)
+    word = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    out = []
+    for k in range(200):
+        shared = word(51).split()
+        out.append((2 * k, " ".join([word(30), *shared, word(30)])))
+        shared[13] = word(1)
+        out.append((2 * k + 1, " ".join([word(30), *shared, word(30)])))
+    found = substring.repeated_passages(spark.createDataFrame(out, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == set(range(1, 400, 2))
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)

@@ -1,9 +1,9 @@
 """Repeated passages of documents, exact or with small changes, by collinear chaining.
 
 Seeds are 5-word k-mers picked by winnowing: of any 20 consecutive k-mers of a document the one of the smallest hash, so
-two documents with 24 words in common share a seed. A seed's source is its first place in the document of the smallest id;
-every other document's occurrence of the seed is matched with that place only, so matches are linear in the seeds however
-often a passage occurs. The matches of a document with one source are chained: the best sum of ordered matches, less a cost
+two documents with 24 words in common share a seed. A seed's source is the document of the smallest id;
+every other document's occurrence of the seed is matched with its places there only, so matches are linear in the documents
+however often a passage occurs. The matches of a document with one source are chained: the best sum of ordered matches, less a cost
 for the words between them, found with prefix maxima in a Fenwick tree. The words of a chain are then aligned with those of
 its source, within its gaps and beyond its ends, and what is long and similar enough is a repeated passage.
 """
@@ -56,8 +56,29 @@ def winnow(hashes: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.nda
     return np.unique(best[whole])
 
 
+def _thinned(some: np.ndarray, kmers: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of seeds without those deep inside a run of equal seeds at equal distances of WINDOW k-mers at most (alignment from its
+    ends passes over the run), and whether a place has an equal seed before it in its row."""
+    order = np.lexsort((some, kmers, of))
+    at, key, row = some[order], kmers[order], of[order]
+    again = np.zeros(len(at), bool)
+    again[1:] = (key[1:] == key[:-1]) & (row[1:] == row[:-1])
+    inside = np.zeros(len(at), bool)
+    step = np.diff(at)
+    inside[1:-1] = again[1:-1] & again[2:] & (step[1:] == step[:-1]) & (step[1:] <= WINDOW)
+    # two texts may pick the first seed of the same run up to a window apart
+    ends = np.flatnonzero(~inside)
+    if len(ends):
+        number = np.cumsum(~inside) - 1
+        first, last = at[ends[number]], at[ends[np.minimum(number + 1, len(ends) - 1)]]
+        inside &= (at - first > 2 * WINDOW) & (last - at > 2 * WINDOW)
+    back = np.argsort(at[~inside], kind="stable")
+    return at[~inside][back], again[~inside][back]
+
+
 def seeds(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
-    """(seed, id, h, at, first): the seeds of each text with words at k-mer `at`; first: the text's first place of that seed."""
+    """(seed, id, h, at, first): the seeds of each text with words at k-mer `at`; first: the text's first place of that seed. Of a
+    line that is repeated on and on only the seeds at its ends are given."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +91,7 @@ def seeds(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K)
                     continue
                 place = np.arange(len(of)) - np.searchsorted(of, of)
                 some = winnow(kmers, of)
-                order = np.lexsort((some, kmers[some], of[some]))
-                again = np.zeros(len(some), bool)
-                again[order[1:]] = (kmers[some][order][1:] == kmers[some][order][:-1]) & (of[some][order][1:] == of[some][order][:-1])
+                some, again = _thinned(some, kmers[some], of[some])
                 part = pa.array(of[some] + low)
                 yield pa.RecordBatch.from_arrays([pa.array(kmers[some].view(np.int64)), batch.column(0).take(part), batch.column(1).take(part), pa.array(place[some], pa.int32()), pa.array(~again)], ["seed", "id", "h", "at", "first"])
 
@@ -260,7 +279,7 @@ def _runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def chains(matches: DataFrame, kind: str) -> DataFrame:
-    """(id, h, source, source_h, xs, ys): the chains of two matches or more of each text with each source."""
+    """(id, h, source, source_h, xs, ys): the chains of matches of each text with each source; alignment decides on short ones."""
     schema = f"id {kind}, h long, source {kind}, source_h long, xs array<int>, ys array<int>"
 
     @lean
@@ -274,13 +293,10 @@ def chains(matches: DataFrame, kind: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(got, kinds, strict=True)], ["id", "h", "source", "source_h", "xs", "ys"])
 
         for own in _runs_of(batches, ["id", "h", "source", "source_h"]):
-            if own.num_rows < 2:
-                continue
             x, y = np.unique(np.stack([own[c].to_numpy().astype(np.int64) for c in ("at", "source_at")], axis=1), axis=0).T
             key = [own[c][0].as_py() for c in ("id", "h", "source", "source_h")]
             for links in chain(x, y):
-                if len(links) > 1:
-                    rows.append((*key, x[links], y[links]))
+                rows.append((*key, x[links], y[links]))
             if len(rows) >= 2000:
                 yield out()
         if rows:
@@ -303,7 +319,9 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     source = found.groupBy("seed").agg(F.min("id").alias("source"), F.max("id").alias("last"), F.min_by("at", F.when(F.col("first"), F.col("id"))).alias("source_at"), F.min_by("h", F.when(F.col("first"), F.col("id"))).alias("source_h"))
     source = written(source.where("source < last").drop("last"), "seed-sources")
     # all tables here grow with the input: merge joins keep the plan the same at every size
-    matches = found.join(source.hint("merge"), "seed").where("id <> source").select("id", "h", "at", "source", "source_h", "source_at")
+    again = found.where("NOT first").select("seed", "id", "h", "at").join(source.drop("source_at").hint("merge"), "seed").where("id = source AND h = source_h").select("seed", "source", F.col("at").alias("source_at"), "source_h")
+    places = source.unionByName(again)
+    matches = found.join(places.hint("merge"), "seed").where("id <> source").select("id", "h", "at", "source", "source_h", "source_at")
     linked = written(chains(matches, kind), "chains")
     release(found, source)
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(text).alias("j"), F.col(text).alias("t"))
