@@ -248,6 +248,27 @@ def test_one_seed_is_enough(spark):
     assert {r["doc_id"] for r in found} == set(range(1, 400, 2))
 
 
+def test_passages_whose_parts_lie_in_earlier_documents(spark):
+    rng = random.Random(7)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    out = []
+    for k in range(20):
+        shared = word(rng.choice([50, 60, 75, 95]))
+        half = len(shared) // 2
+        cuts = [shared[:half], shared[half:], shared, shared]
+        out += [(4 * k + j, [*word(rng.randint(0, 40)), *part, *word(rng.randint(0, 40))]) for j, part in enumerate(cuts)]
+    wanted, seen = {}, set()
+    for i, w in out:
+        own = [" ".join(w[j : j + 50]) for j in range(len(w) - 49)]
+        wanted[i] = {j + d for j, r in enumerate(own) if r in seen for d in range(50)}
+        seen.update(own)
+    got = {}
+    for r in substring.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in out], "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+    assert all(got.get(i, set()) >= w for i, w in wanted.items())
+    assert {i for i, w in wanted.items() if w} == set(got) == set(range(3, 80, 4))
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)

@@ -5,7 +5,9 @@ two documents with 24 words in common share a seed. A seed's source is the docum
 every other document's occurrence of the seed is matched with its places there only, so matches are linear in the documents
 however often a passage occurs. The matches of a document with one source are chained: the best sum of ordered matches, less a cost
 for the words between them, found with prefix maxima in a Fenwick tree. The words of a chain are then aligned with those of
-its source, within its gaps and beyond its ends, and what is long and similar enough is a repeated passage.
+its source, within its gaps and beyond its ends, and what is long and similar enough is a repeated passage. As a seed's first
+document may have only a part of a passage that two later ones share, all runs of as many words as a passage has at least
+are compared too, where all their seeds are shared; these give the exact passages that the chains miss.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import lean, perhaps_listed, release, written
+from weftline.llm._shared import FILTER_BITS, lean, perhaps_listed, release, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, row_ranges, shingle_hashes, span_hashes, word_spans
 
 K, WINDOW = 5, 20
@@ -25,6 +27,8 @@ K, WINDOW = 5, 20
 LEAST, SIMILAR = 50, 0.75
 #: Cost of each word between two matches, in either document; a match is worth its K words, so 50 words in both end a chain.
 GAP = 0.05
+#: Columns of a passage between its first mention and the result.
+STRETCH = ["id", "h", "start", "n_words", "source", "source_start", "source_words", "similarity"]
 #: In an alignment a word that differs costs as much as so many that agree gain.
 EDIT = 5
 
@@ -306,12 +310,100 @@ def chains(matches: DataFrame, kind: str) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def _filter_of(listed: DataFrame, key: str) -> np.ndarray:
+    """One bit for each value of 64-bit keys modulo FILTER_BITS: 8 MB, whatever the number of keys."""
+    at = F.pmod(F.col(key), F.lit(FILTER_BITS)) + 1
+    maps = listed.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).toArrow().to_pydict()
+    bits = np.zeros((FILTER_BITS // (1 << 15), 1 << 12), np.uint8)
+    for b, m in zip(maps["b"], maps["m"], strict=True):
+        bits[b - 1] = np.frombuffer(m, np.uint8)
+    return bits.ravel()
+
+
+def exact_stretches(df: DataFrame, shared: DataFrame, id_col: str, text: str, least: int) -> DataFrame:
+    """(id, h, start, n_words, source, source_start, source_words, similarity): the words of each text in runs of `least` words that a
+    text of a smaller id has word for word, whichever it is: each run meets the smallest id that has all of it, so a text that
+    has only a part of it hides nothing. shared: the seeds of two ids or more; a run with any other seed needs no look."""
+    kind = df.schema[id_col].dataType.simpleString()
+    windows = least - K - WINDOW + 2
+    bits = _filter_of(shared, "seed")
+
+    @lean
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(2))
+            for low, high in row_ranges(offsets, 1 << 20):
+                _, _, rows, words = words_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                enough = (np.bincount(rows, minlength=high - low) >= max(least, K))[rows]
+                rows, words = rows[enough], words[enough]
+                n = len(words)
+                if not n:
+                    continue
+                whole = np.flatnonzero(rows[: n - least + 1] == rows[least - 1 :])
+                runs = shingle_hashes(words, rows, least)[0]
+                if windows > 0:
+                    smallest = np.full(n + WINDOW, 2**64 - 1, np.uint64)
+                    smallest[np.flatnonzero(rows[: n - K + 1] == rows[K - 1 :])] = shingle_hashes(words, rows, K)[0]
+                    picked = smallest[:n].copy()
+                    for j in range(1, WINDOW):
+                        np.minimum(picked, smallest[j : j + n], out=picked)
+                    place = picked & np.uint64(FILTER_BITS - 1)
+                    known = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+                    count = np.r_[0, np.cumsum(known, dtype=np.int64)]
+                    likely = count[whole + windows] - count[whole] == windows
+                    whole, runs = whole[likely], runs[likely]
+                part = pa.array(rows[whole] + low)
+                place = whole - np.searchsorted(rows, rows[whole])
+                order = np.lexsort((place, runs, rows[whole]))
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = (runs[order][1:] == runs[order][:-1]) & (rows[whole][order][1:] == rows[whole][order][:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), batch.column(0).take(part), batch.column(1).take(part), pa.array(place, pa.int32()), pa.array(~again)], ["run", "id", "h", "at", "first"])
+
+    @lean
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _runs_of(batches, ["id", "h", "source", "source_h"]):
+            x, y = (own[c].to_numpy().astype(np.int64) for c in ("at", "source_at"))
+            order = np.lexsort((x, x - y))
+            x, y = x[order], y[order]
+            cut = np.flatnonzero(np.r_[True, (np.diff(x - y) != 0) | (np.diff(x) > least)])
+            last = np.r_[cut[1:], len(x)] - 1
+            n = pa.array(x[last] - x[cut] + least)
+            key = own.slice(0, 1).combine_chunks()
+            repeat = lambda c: key[c].take(pa.array(np.zeros(len(cut), np.int64))).combine_chunks()
+            yield pa.RecordBatch.from_arrays([repeat("id"), repeat("h"), pa.array(x[cut]), n, repeat("source"), pa.array(y[cut]), n, pa.array(np.ones(len(cut)))], STRETCH)
+
+    keyed = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    found = written(keyed.mapInArrow(grams, f"run long, id {kind}, h long, at int, first boolean"), "runs")
+    of = F.when(F.col("first"), F.col("id"))
+    source = found.groupBy("run").agg(F.min("id").alias("source"), F.max("id").alias("last"), F.min_by("at", of).alias("source_at"), F.min_by("h", of).alias("source_h")).where("source < last").drop("last")
+    matches = found.join(source.hint("merge"), "run").where("id <> source").select("id", "h", "source", "source_h", "at", "source_at")
+    dealt = matches.repartition("id", "h").sortWithinPartitions("id", "h", "source", "source_h", "at")
+    out = written(dealt.mapInArrow(joined, f"id {kind}, h long, start long, n_words long, source {kind}, source_start long, source_words long, similarity double"), "stretches")
+    release(found)
+    return out
+
+
+def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Aligned passages, and those exact stretches of a text that lie in no passage of it."""
+    for own in _runs_of(batches, ["id", "h"]):
+        start, n, exact = (own[c].to_numpy() for c in ("start", "n_words", "exact"))
+        # the longest exact stretches first, so that each is held against all that could hold it
+        keep = ~exact
+        begins, ends = start[keep], (start + n)[keep]
+        for i in sorted(np.flatnonzero(exact).tolist(), key=lambda i: (-n[i], start[i])):
+            if not ((begins <= start[i]) & (ends >= start[i] + n[i])).any():
+                keep[i] = True
+                begins, ends = np.r_[begins, start[i]], np.r_[ends, start[i] + n[i]]
+        yield from own.filter(pa.array(keep)).select(STRETCH).combine_chunks().to_batches()
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """The passages of documents that repeat one of a document with a smaller id: id_col, text_hash (xxhash64 of the text),
     start and n_words (the passage's words, counted from 0), source_id, source_start, source_words, similarity.
 
     A passage has `least` words or more, and the 5-word shingles of it and of its source have a Jaccard similarity of `similar` or
-    more. The first document of a passage is not listed. Rows with a null id or without words take no part; rows of one
+    more. Each run of `least` words that is word for word in a document of a smaller id lies in a listed passage.
+    The first document of a passage is not listed. Rows with a null id or without words take no part; rows of one
     id are never compared with each other, and repeated rows give the passage once. Other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -323,6 +415,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     places = source.unionByName(again)
     matches = found.join(places.hint("merge"), "seed").where("id <> source").select("id", "h", "at", "source", "source_h", "source_at")
     linked = written(chains(matches, kind), "chains")
+    exact = exact_stretches(df, source, id_col, text, least)
     release(found, source)
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(text).alias("j"), F.col(text).alias("t"))
     keys = written(linked.select("id", "h").unionByName(linked.select(F.col("source").alias("id"), F.col("source_h").alias("h"))).distinct(), "chained")
@@ -331,7 +424,6 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     release(keys)
     own = linked.join(texts.select(F.col("i").alias("id"), F.col("j").alias("h"), F.col("t").alias("a")).hint("merge"), ["id", "h"])
     both = own.join(texts.select(F.col("i").alias("source"), F.col("j").alias("source_h"), F.col("t").alias("b")).hint("merge"), ["source", "source_h"])
-    names = ["id", "h", "start", "n_words", "source", "source_start", "source_words", "similarity"]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,9 +444,12 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                         rest.append(p)
                 take = pa.array(place, pa.int64())
                 columns = [pa.array([p[j] for p in rest], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("h").take(take), *columns[:2], part.column("source").take(take), *columns[2:]], names)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("h").take(take), *columns[:2], part.column("source").take(take), *columns[2:]], STRETCH)
 
-    out = both.select("id", "h", "source", "xs", "ys", "a", "b").mapInArrow(run, f"id {kind}, h long, start long, n_words long, source {kind}, source_start long, source_words long, similarity double")
+    schema = f"id {kind}, h long, start long, n_words long, source {kind}, source_start long, source_words long, similarity double"
+    aligned = both.select("id", "h", "source", "xs", "ys", "a", "b").mapInArrow(run, schema)
+    every = aligned.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True)))
+    out = every.repartition("id", "h").sortWithinPartitions("id", "h").mapInArrow(lean(_outer), schema)
     return out.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "start", "n_words", F.col("source").alias("source_id"), "source_start", "source_words", "similarity").distinct()
 
 
