@@ -61,7 +61,7 @@ def winnow(hashes: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.nda
 
 
 def _thinned(some: np.ndarray, kmers: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of seeds without those deep inside a run of equal seeds at equal distances of WINDOW k-mers at most (alignment from its
+    """Places of seeds without those inside a run of equal seeds at equal distances of WINDOW k-mers at most (alignment from its
     ends passes over the run), and whether a place has an equal seed before it in its row."""
     order = np.lexsort((some, kmers, of))
     at, key, row = some[order], kmers[order], of[order]
@@ -70,12 +70,6 @@ def _thinned(some: np.ndarray, kmers: np.ndarray, of: np.ndarray) -> tuple[np.nd
     inside = np.zeros(len(at), bool)
     step = np.diff(at)
     inside[1:-1] = again[1:-1] & again[2:] & (step[1:] == step[:-1]) & (step[1:] <= WINDOW)
-    # two texts may pick the first seed of the same run up to a window apart
-    ends = np.flatnonzero(~inside)
-    if len(ends):
-        number = np.cumsum(~inside) - 1
-        first, last = at[ends[number]], at[ends[np.minimum(number + 1, len(ends) - 1)]]
-        inside &= (at - first > 2 * WINDOW) & (last - at > 2 * WINDOW)
     back = np.argsort(at[~inside], kind="stable")
     return at[~inside][back], again[~inside][back]
 
@@ -283,8 +277,8 @@ def _runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def chains(matches: DataFrame, kind: str) -> DataFrame:
-    """(id, h, source, source_h, xs, ys): the chains of matches of each text with each source; alignment decides on short ones."""
-    schema = f"id {kind}, h long, source {kind}, source_h long, xs array<int>, ys array<int>"
+    """(id, h, source, source_h, xs, ys): all chains of matches of a text with a source in one row; alignment decides on short ones."""
+    schema = f"id {kind}, h long, source {kind}, source_h long, xs array<array<int>>, ys array<array<int>>"
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,14 +287,14 @@ def chains(matches: DataFrame, kind: str) -> DataFrame:
         def out() -> pa.RecordBatch:
             got = [list(x) for x in zip(*rows, strict=True)]
             rows.clear()
-            kinds = [None, pa.int64(), None, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            kinds = [None, pa.int64(), None, pa.int64(), *[pa.list_(pa.list_(pa.int32()))] * 2]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(got, kinds, strict=True)], ["id", "h", "source", "source_h", "xs", "ys"])
 
         for own in _runs_of(batches, ["id", "h", "source", "source_h"]):
             x, y = np.unique(np.stack([own[c].to_numpy().astype(np.int64) for c in ("at", "source_at")], axis=1), axis=0).T
             key = [own[c][0].as_py() for c in ("id", "h", "source", "source_h")]
-            for links in chain(x, y):
-                rows.append((*key, x[links], y[links]))
+            own_chains = chain(x, y)
+            rows.append((*key, *([c[links].astype(np.int32) for links in own_chains] for c in (x, y))))
             if len(rows) >= 2000:
                 yield out()
         if rows:
@@ -320,43 +314,64 @@ def _filter_of(listed: DataFrame, key: str) -> np.ndarray:
     return bits.ravel()
 
 
-def exact_stretches(df: DataFrame, shared: DataFrame, id_col: str, text: str, least: int) -> DataFrame:
+def exact_stretches(df: DataFrame, matches: DataFrame, aligned: DataFrame, id_col: str, text: str, least: int) -> DataFrame:
     """(id, h, start, n_words, source, source_start, source_words, similarity): the words of each text in runs of `least` words that a
     text of a smaller id has word for word, whichever it is: each run meets the smallest id that has all of it, so a text that
-    has only a part of it hides nothing. shared: the seeds of two ids or more; a run with any other seed needs no look."""
+    has only a part of it hides nothing. Runs inside the aligned passages need no look, nor do those with a seed that isn't in matches."""
     kind = df.schema[id_col].dataType.simpleString()
     windows = least - K - WINDOW + 2
-    bits = _filter_of(shared, "seed")
+    # a run with a word outside a passage has no seed that lies `least` words inside; of repeated seeds not all are listed
+    whole_text = (F.col("start") == 0) & (F.col("n_words") == F.col("total"))
+    span = F.struct(F.when(whole_text, 0).otherwise(F.col("start") + least).alias("low"), F.when(whole_text, 2**40).otherwise(F.col("start") + F.col("n_words") - least - K).alias("high"))
+    spans = aligned.groupBy("id", "h").agg(F.collect_set(span).alias("spans"))
+    covered = F.exists("spans", lambda x: (F.col("at") >= x["low"]) & ((x["high"] == 2**40) | (F.col("first") & (F.col("at") <= x["high"]))))
+    open_ = matches.select("id", "h", "seed", "at", "first").distinct().join(spans.hint("merge"), ["id", "h"], "left").where(~F.coalesce(covered, F.lit(False)))
+    asked = _filter_of(open_.select(F.col("h").bitwiseXOR(F.col("seed")).alias("key")), "key")
+
+    def listed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        place = keys & np.uint64(FILTER_BITS - 1)
+        return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows of words, words, places of runs, hashes of runs) of the texts that are long enough."""
+        data, offsets = column_bytes(batch.column(2))
+        for low, high in row_ranges(offsets, 1 << 20):
+            _, _, rows, words = words_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+            enough = (np.bincount(rows, minlength=high - low) >= max(least, K))[rows]
+            rows, words = rows[enough], words[enough]
+            if len(words):
+                yield rows + low, words, np.flatnonzero(rows[: len(rows) - least + 1] == rows[least - 1 :]), shingle_hashes(words, rows, least)[0]
 
     @lean
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = column_bytes(batch.column(2))
-            for low, high in row_ranges(offsets, 1 << 20):
-                _, _, rows, words = words_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                enough = (np.bincount(rows, minlength=high - low) >= max(least, K))[rows]
-                rows, words = rows[enough], words[enough]
+            texts = batch.column(1).to_numpy().view(np.uint64)
+            for rows, words, whole, runs in parts(batch):
                 n = len(words)
-                if not n:
-                    continue
-                whole = np.flatnonzero(rows[: n - least + 1] == rows[least - 1 :])
-                runs = shingle_hashes(words, rows, least)[0]
                 if windows > 0:
                     smallest = np.full(n + WINDOW, 2**64 - 1, np.uint64)
                     smallest[np.flatnonzero(rows[: n - K + 1] == rows[K - 1 :])] = shingle_hashes(words, rows, K)[0]
                     picked = smallest[:n].copy()
                     for j in range(1, WINDOW):
                         np.minimum(picked, smallest[j : j + n], out=picked)
-                    place = picked & np.uint64(FILTER_BITS - 1)
-                    known = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-                    count = np.r_[0, np.cumsum(known, dtype=np.int64)]
-                    likely = count[whole + windows] - count[whole] == windows
-                    whole, runs = whole[likely], runs[likely]
-                part = pa.array(rows[whole] + low)
-                place = whole - np.searchsorted(rows, rows[whole])
-                order = np.lexsort((place, runs, rows[whole]))
+                    count = np.r_[0, np.cumsum(listed(asked, picked ^ texts[rows]), dtype=np.int64)]
+                    runs = runs[count[whole + windows] - count[whole] == windows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(runs).view(np.int64))], ["run"])
+
+    keyed = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    looked_for = _filter_of(keyed.mapInArrow(wanted, "run long"), "run")
+
+    @lean
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, _, whole, runs in parts(batch):
+                some = listed(looked_for, runs)
+                first, whole, runs = np.searchsorted(rows, rows), whole[some], runs[some]
+                of, place = rows[whole], whole - first[whole]
+                order = np.lexsort((place, runs, of))
                 again = np.zeros(len(order), bool)
-                again[order[1:]] = (runs[order][1:] == runs[order][:-1]) & (rows[whole][order][1:] == rows[whole][order][:-1])
+                again[order[1:]] = (runs[order][1:] == runs[order][:-1]) & (of[order][1:] == of[order][:-1])
+                part = pa.array(of)
                 yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), batch.column(0).take(part), batch.column(1).take(part), pa.array(place, pa.int32()), pa.array(~again)], ["run", "id", "h", "at", "first"])
 
     @lean
@@ -372,7 +387,6 @@ def exact_stretches(df: DataFrame, shared: DataFrame, id_col: str, text: str, le
             repeat = lambda c: key[c].take(pa.array(np.zeros(len(cut), np.int64))).combine_chunks()
             yield pa.RecordBatch.from_arrays([repeat("id"), repeat("h"), pa.array(x[cut]), n, repeat("source"), pa.array(y[cut]), n, pa.array(np.ones(len(cut)))], STRETCH)
 
-    keyed = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     found = written(keyed.mapInArrow(grams, f"run long, id {kind}, h long, at int, first boolean"), "runs")
     of = F.when(F.col("first"), F.col("id"))
     source = found.groupBy("run").agg(F.min("id").alias("source"), F.max("id").alias("last"), F.min_by("at", of).alias("source_at"), F.min_by("h", of).alias("source_h")).where("source < last").drop("last")
@@ -413,10 +427,9 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     # all tables here grow with the input: merge joins keep the plan the same at every size
     again = found.where("NOT first").select("seed", "id", "h", "at").join(source.drop("source_at").hint("merge"), "seed").where("id = source AND h = source_h").select("seed", "source", F.col("at").alias("source_at"), "source_h")
     places = source.unionByName(again)
-    matches = found.join(places.hint("merge"), "seed").where("id <> source").select("id", "h", "at", "source", "source_h", "source_at")
-    linked = written(chains(matches, kind), "chains")
-    exact = exact_stretches(df, source, id_col, text, least)
+    matches = written(found.join(places.hint("merge"), "seed").where("id <> source").select("seed", "id", "h", "at", "first", "source", "source_h", "source_at"), "matches")
     release(found, source)
+    linked = written(chains(matches, kind), "chains")
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(text).alias("j"), F.col(text).alias("t"))
     keys = written(linked.select("id", "h").unionByName(linked.select(F.col("source").alias("id"), F.col("source_h").alias("h"))).distinct(), "chained")
     texts = perhaps_listed(texts, F.col("j"), keys, "h")
@@ -438,16 +451,22 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                     words.append([hashes[p:q] for p, q in zip(edge[:-1], edge[1:], strict=True)])
                 place, rest = [], []
                 for r in range(len(part)):
-                    x, y = (np.asarray(part.column(c)[r].values).astype(np.int64) for c in ("xs", "ys"))
-                    for p in passages(words[0][r], words[1][r], x, y, K, least, similar):
+                    pair = set()
+                    for x, y in zip(*(part.column(c)[r].as_py() for c in ("xs", "ys")), strict=True):
+                        pair.update(passages(words[0][r], words[1][r], np.array(x), np.array(y), K, least, similar))
+                    for p in sorted(pair):
                         place.append(r)
-                        rest.append(p)
+                        rest.append((*p, len(words[0][r])))
                 take = pa.array(place, pa.int64())
-                columns = [pa.array([p[j] for p in rest], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("h").take(take), *columns[:2], part.column("source").take(take), *columns[2:]], STRETCH)
+                columns = [pa.array([p[j] for p in rest], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("h").take(take), *columns[:2], part.column("source").take(take), *columns[2:]], [*STRETCH, "total"])
 
     schema = f"id {kind}, h long, start long, n_words long, source {kind}, source_start long, source_words long, similarity double"
-    aligned = both.select("id", "h", "source", "xs", "ys", "a", "b").mapInArrow(run, schema)
+    aligned = written(both.select("id", "h", "source", "xs", "ys", "a", "b").mapInArrow(run, schema + ", total long"), "aligned")
+    release(linked, texts)
+    exact = exact_stretches(df, matches, aligned, id_col, text, least)
+    release(matches)
+    aligned = aligned.drop("total")
     every = aligned.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True)))
     out = every.repartition("id", "h").sortWithinPartitions("id", "h").mapInArrow(lean(_outer), schema)
     return out.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "start", "n_words", F.col("source").alias("source_id"), "source_start", "source_words", "similarity").distinct()
