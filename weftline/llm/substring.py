@@ -454,9 +454,13 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                     pair = set()
                     for x, y in zip(*(part.column(c)[r].as_py() for c in ("xs", "ys")), strict=True):
                         pair.update(passages(words[0][r], words[1][r], np.array(x), np.array(y), K, least, similar))
-                    for p in sorted(pair):
-                        place.append(r)
-                        rest.append((*p, len(words[0][r])))
+                    reached = -1
+                    # those that lie in another passage of the same pair say nothing new
+                    for p in sorted(pair, key=lambda p: (p[0], -p[1], -p[4], p[2])):
+                        if p[0] + p[1] > reached:
+                            reached = p[0] + p[1]
+                            place.append(r)
+                            rest.append((*p, len(words[0][r])))
                 take = pa.array(place, pa.int64())
                 columns = [pa.array([p[j] for p in rest], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("h").take(take), *columns[:2], part.column("source").take(take), *columns[2:]], [*STRETCH, "total"])
