@@ -284,6 +284,18 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert tokenstore.read_tokens(tokenstore.write_tokens(docs.limit(0), path, 2)).count() == 0
 
 
+def test_added_tokens_in_texts(spark, rows, tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x", None, "<|endoftext|><|endoftext|> y\n", *[t for _, t in rows], "<|endoftext| >", "end <|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for end in (2, None):
+        files = tokenstore.write_tokens(df, path, end_id=end, folder=f"file://{tmp_path}/{end}", file_bytes=2000, added_tokens=True)
+        got = {r["doc_id"]: list(r["ids"]) for r in tokenstore.read_tokens(files, ids=True).collect()}
+        assert got == {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [end] * (end is not None) for i, t in enumerate(texts)}
+    assert 50256 in got[0]
+
+
 def test_only_asked_frames_are_read(tmp_path):
     name = tmp_path / "x"
     with open(name, "wb") as f:

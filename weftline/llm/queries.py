@@ -73,7 +73,7 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 
 
 def op5_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = tokenstore.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    files = tokenstore.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, added_tokens=True)
     return tokenstore.read_tokens(files)
 
 

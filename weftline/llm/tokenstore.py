@@ -12,14 +12,16 @@ Any zstandard decoder reads the whole file as one stream of ids; `TokenFile` rea
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from typing import IO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -152,8 +154,9 @@ def byte_chars() -> list[str]:
 
 
 @cache
-def library_cache(path: str) -> WordCache:
-    """Encodes words with the tokenizers library; one for each Python worker."""
+def library_cache(path: str) -> tuple[WordCache, Callable[[str], list[int]], re.Pattern | None]:
+    """Encodes words with the tokenizers library; one for each Python worker. Also the library's encoding of a whole text, and a
+    pattern of the added tokens, which the library cuts out before it looks for words: a text with one of them goes whole."""
     import json
 
     from tokenizers import Tokenizer
@@ -171,15 +174,19 @@ def library_cache(path: str) -> WordCache:
         found = [[t.id for t in tokenize(w.decode("latin-1").translate(to_chars))] for w in words]
         return np.cumsum([0, *map(len, found)]), np.array([i for x in found for i in x], np.int32)
 
-    return WordCache(encode_words)
+    added = [t["content"] for t in said.get("added_tokens") or [] if t["content"]]
+    if any(t.get("normalized") and said.get("normalizer") for t in said.get("added_tokens") or []):
+        raise ValueError("added tokens that are normalized are not read")
+    whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    return WordCache(encode_words), whole, re.compile("|".join(map(re.escape, added))) if added else None
 
 
-def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int | None, folder: str | None = None, id_col: str = "doc_id", text: str = "text", file_bytes: int = FILE) -> DataFrame:
+def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int | None, folder: str | None = None, id_col: str = "doc_id", text: str = "text", file_bytes: int = FILE, added_tokens: bool = False) -> DataFrame:
     """Encodes the texts and writes their ids in ascending order of id_col; returns the written files' table.
 
     Its rows are path, n_docs, n_tokens, n_bytes, start (ids in all files before it); the paths ascend as the ids do.
-    tokenizer_path: a tokenizer.json of a byte-level BPE that every executor can read; strings of special tokens
-    in a text are ordinary text. end_id, if given, ends each document. folder: a new folder in a shared store. Null and
+    tokenizer_path: a tokenizer.json of a byte-level BPE that every executor can read; strings of its added
+    tokens in a text are ordinary text, or with added_tokens get these tokens' ids, as by the library's own encode. end_id, if given, ends each document. folder: a new folder in a shared store. Null and
     empty texts have no ids but the end id. Rows with a null id come first; rows of one id are ordered by text, null first.
     A task that is run again writes the same files. Other columns are not read. An empty table writes nothing.
     """
@@ -192,12 +199,21 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int | None, folder:
         part, number = TaskContext.get().partitionId(), 0
         held: dict[int, pa.Array] = {}
 
+        cache_of, whole, added = library_cache(tokenizer_path)
+        marked: dict[int, dict[int, str]] = {}
+
         def columns() -> Iterator[pa.Array]:
             for k, batch in enumerate(batches):
                 held[k] = batch.column(0)
-                yield batch.column(1)
-
-        rows = encode_blocks(columns(), library_cache(tokenizer_path))
+                texts = batch.column(1)
+                if added_tokens and added is not None:
+                    has = pc.fill_null(pc.match_substring_regex(texts, added.pattern), False)
+                    marked[k] = {i: texts[i].as_py() for i in np.flatnonzero(has.to_numpy(zero_copy_only=False)).tolist()}
+                    if marked[k]:
+                        texts = pc.if_else(has, pa.scalar("", texts.type), texts)
+                yield texts
+
+        rows = encode_blocks(columns(), cache_of)
         one = next(rows, None)
         while one is not None:
             path = f"{folder}/{part:06d}-{number:04d}.tok.zst"
@@ -208,9 +224,16 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int | None, folder:
                     k, got = one
                     for old in [x for x in held if x < k]:
                         del held[old]
-                    lengths, tokens = np.diff(got.offsets), got.ids
+                        marked.pop(old, None)
+                    lengths, tokens, offsets = np.diff(got.offsets), got.ids, got.offsets
+                    own = {i - got.low: whole(text) for i, text in marked.get(k, {}).items() if got.low <= i < got.high}
+                    if own:
+                        # these rows have no ids yet
+                        tokens = np.insert(tokens, np.repeat(offsets[list(own)], [len(x) for x in own.values()]), [i for x in own.values() for i in x])
+                        lengths[list(own)] = [len(x) for x in own.values()]
+                        offsets = np.r_[0, np.cumsum(lengths)]
                     if end_id is not None:
-                        tokens, lengths = np.insert(tokens, got.offsets[1:], end_id), lengths + 1
+                        tokens, lengths = np.insert(tokens, offsets[1:], end_id), lengths + 1
                     writer.add(held[k].slice(got.low, got.high - got.low), tokens, lengths)
                     n += len(lengths)
                     one = next(rows, None)
