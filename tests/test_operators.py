@@ -161,3 +161,23 @@ def test_failure_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("failures").collect()] == [("r", 3, 1, True)]
+
+
+def test_negatives_beyond_the_first_ranks(spark):
+    from weftline.operators import retrieval as E
+
+    # the first ten examples have one source, all of whose pairs are known
+    n = 30
+    ex = spark.createDataFrame([(f"e{i}", "hot" if i <= 10 else f"s{i}", f"t{i}") for i in range(1, n + 1)], "id string, source string, target string")
+    ranks = spark.createDataFrame([("q", i, f"e{i}", 1.0 / i) for i in range(1, n + 1)], "query string, rank int, example string, score double")
+    known = spark.createDataFrame([("hot", f"t{i}") for i in range(1, n)], "source string, target string")
+    got = [(r["rank"], r["source"], r["target"]) for r in E.cross_negatives(ranks, ex, known, 2).orderBy("rank").collect()]
+    assert got == [(1, "hot", f"t{n}"), (2, "s11", "t1")]
+    none = spark.createDataFrame([], "uri string, rank int, sibling string")
+    got = [(r["rank"], r["source"], r["target"], r["how"]) for r in E.paired_negatives(ranks, ex, none, known, 2).orderBy("rank").collect()]
+    assert got == [(1, "hot", f"t{n}", "donor")]
+    # the best anchors come from a task each, the only two of one task come last
+    anchors = spark.createDataFrame([(f"a{i:02}", f"task{min(i, 40)}", "CLS", f"s{i}", f"t{i}", [1.0 - i / 100]) for i in range(1, 42)], "id string, task string, kind string, source string, target string, vector array<double>")
+    queries = spark.createDataFrame([("q", "own", "CLS", [1.0])], "query string, task string, kind string, vector array<double>")
+    got = [(r["source"], r["target"], r["label"]) for r in E.bundle(queries, anchors).orderBy("place").collect()]
+    assert got == [("s1", "t1", True), ("s40", "t41", False), ("s2", "t2", True), ("s41", "t40", False)]
