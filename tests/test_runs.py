@@ -30,3 +30,10 @@ def test_config_is_strict(tmp_path):
     assert evaluate.options_of(["edition.edition=2026", "plain.x=true"]) == {"edition": {"edition": 2026}, "plain": {"x": True}}
     with pytest.raises(ValueError, match="unknown engine"):
         evaluate.engine("x")
+
+
+@pytest.mark.parametrize("strategy", ["random", "hard", "rag"])
+def test_examples_are_refused(strategy):
+    with pytest.raises(ValueError, match="not built"):
+        config.build({"few_shot": {"strategy": strategy, "k": 2}})
+    assert config.build({"few_shot": {"strategy": strategy}}).few_shot.k == 0

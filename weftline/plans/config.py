@@ -77,6 +77,8 @@ class Config:
             raise ValueError(f"unknown oracle {self.oracle.source}")
         if self.few_shot.k and mode_of(self.few_shot.strategy) == "zero_shot":
             raise ValueError("zero_shot takes no examples")
+        if self.few_shot.k:
+            raise ValueError("few-shot examples are not built: a run asks without examples only")
 
     @property
     def run_id(self) -> str:
