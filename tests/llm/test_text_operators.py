@@ -360,3 +360,14 @@ def test_quality(spark):
     assert sum(got[i]["kept"] == (i % 10 > 1) for i in held) >= 0.95 * len(held)
     assert all(r["p_good"] <= r["p_harmless"] for r in got.values()) and len(got) == 302
     assert quality.select(df, ratings.limit(0)).where("kept").count() == 302
+
+
+def test_rare_language_is_learnt(spark):
+    common = spark.range(20_000).selectExpr("concat('tha rein ou ', id, ' inthe rathe') AS text", "'aa' AS lang")
+    rare = spark.range(20).selectExpr("concat('lusté grilu ', id, ' stégri lulu') AS text", "'bb' AS lang")
+    model = langid.train(common.unionByName(rare), sample_rows=400)
+    assert model.languages == ["aa", "bb"]
+    got = langid.identify(rare, model).where("lang_pred = 'bb'").count()
+    assert got == 20
+    rates = langid.sample_rates({"a": 10_000_000, "b": 300, "c": 5}, 20_000)
+    assert rates["b"] == rates["c"] == 1 and 19_000 < rates["a"] * 10_000_000 + 305 <= 20_000

@@ -22,6 +22,8 @@ from weftline.llm.bpe import _LETTER, _char_classes
 LONGEST = 5
 #: The model is learnt from about so many labelled rows, chosen by a hash of their text; with fewer, from all of them.
 SAMPLE_ROWS = 20_000
+#: A tenth of these is shared out evenly first: a rare language has its part of it, or all its rows if they are fewer.
+EVEN = 10
 #: Entries kept of each language: words, and n-grams of each length, the most frequent of those seen twice at least.
 MOST_WORDS, MOST_GRAMS = 50_000, 30_000
 UNKNOWN = "und"
@@ -143,12 +145,23 @@ class Model:
         return [self.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0)
 
 
+def sample_rates(by_label: dict[str, int], sample_rows: int) -> dict[str, float]:
+    """The share of each label's rows in a sample of so many: in proportion, but no label has less than its part of the even tenth."""
+    floor = max(1, sample_rows // (EVEN * len(by_label)))
+    total = sum(by_label.values())
+    rare = {x for x, n in by_label.items() if n * sample_rows < floor * total}
+    left = sample_rows - sum(min(by_label[x], floor) for x in rare)
+    common = left / max(1, sum(n for x, n in by_label.items() if x not in rare))
+    return {x: min(1.0, floor / n if x in rare else common) for x, n in by_label.items()}
+
+
 def train(df: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from the rows with text and label. Counting is distributed; the driver gets the bounded model only."""
     rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"))
-    total = rows.count()
-    if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
+    by_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if sum(by_label.values()) > sample_rows:
+        limit = F.create_map(*[F.lit(x) for name, rate in sample_rates(by_label, sample_rows).items() for x in (name, int(1_000_000 * rate))])
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit[F.col("label")])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
