@@ -181,3 +181,10 @@ def test_negatives_beyond_the_first_ranks(spark):
     queries = spark.createDataFrame([("q", "own", "CLS", [1.0])], "query string, task string, kind string, vector array<double>")
     got = [(r["source"], r["target"], r["label"]) for r in E.bundle(queries, anchors).orderBy("place").collect()]
     assert got == [("s1", "t1", True), ("s40", "t41", False), ("s2", "t2", True), ("s41", "t40", False)]
+
+
+def test_siblings_count_once(spark):
+    h = spark.createDataFrame([("a", "p"), ("a", "p"), ("b", "p"), ("c", "p")], "child string, parent string")
+    names = spark.createDataFrame([("a", "a1"), ("a", "a2"), ("a", "a3"), ("b", "b"), ("c", "c")], "uri string, label string")
+    got = {(r["node"], r["rank"], r["sibling"], r["label"]) for r in G.siblings(h, names, 2).collect()}
+    assert got == {("a", 1, "b", "b"), ("a", 2, "c", "c"), ("b", 1, "a", "a1"), ("b", 2, "c", "c"), ("c", 1, "a", "a1"), ("c", 2, "b", "b")}

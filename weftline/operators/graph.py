@@ -161,7 +161,8 @@ def siblings(hierarchy: DataFrame, names: DataFrame, most: int, by: str = "name"
     label = F.coalesce("label", R.label_of_uri(F.col("child")))
     key = {"name": [F.lower("label")], "label": [F.col("label")], "shortest": [F.length("label"), F.col("label")]}[by]
     children = hierarchy.join(names.select(F.col("uri").alias("child"), "label"), "child", "left").withColumn("label", label)
-    # a child sees at most `most` + 1 of a parent's children, itself among them
+    # a child sees at most `most` + 1 of a parent's children, itself among them; each counts once, with its first label
+    children = children.groupBy("parent", "child").agg(F.min_by("label", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)], "label")).alias("label"))
     order = Window.partitionBy("parent").orderBy(*key, "child")
     best = children.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most + 1)
     mine = hierarchy.select(F.col("child").alias("node"), "parent")
