@@ -175,6 +175,24 @@ def test_near_duplicates(docs, rows):
     assert {i for i in ids if i is not None} == want and ids.count(None) <= 2 and len(ids) == len(set(ids)) + max(ids.count(None) - 1, 0)
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_duplicates_of_a_family(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(8)
+    lines = [sentence(rng, 12) for _ in range(14)]  # texts of common lines only have no shingle of their own
+    words = sentence(rng, 90).split()
+    some = [" ".join(rng.sample(lines, 9)) for _ in range(70)]
+    for _ in range(90):
+        own = list(words)
+        for j in range(rng.randint(2, 9)):
+            own[rng.randrange(90)] = f"n{rng.randrange(40)}" if j % 2 else "same"
+        some.append(" ".join(own))
+    rows = [(1000 - 3 * i, t) for i, t in enumerate(some)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_text(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(similar_components(rows), key=repr)
+    assert 10 < found.select("component_id").distinct().count() < 140
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import IO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,27 @@ def perhaps_listed(df: DataFrame, key: Column, listed: DataFrame, listed_key: st
     return rows.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).select(*columns)
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of equal keys, which stand together, as one table each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [np.asarray(batch.column(c)) for c in keys]
+        new = np.zeros(len(batch) - 1, bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(a, b - a)
+            if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in keys):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder below the shared one, by Spark's own file system classes."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -8,8 +8,10 @@ pairs that are not excluded so are verified on their full sets.
 
 Documents of one set form a class, and only classes are compared. In each bucket every class meets the bucket's
 smallest (linear in the bucket). After the links found so have been joined to components, only buckets with several
-components are undecided; their classes go to finer buckets, by more registers, and there all pairs of different components
-are compared. A pair within a component needs no comparison, as it can't change the result.
+components are undecided. Of their classes those meet that share one of their rarest shingles and lie in different
+components: two sets with a similarity of t have one in common among the |A| - ceil(t |A|) + 1 rarest of each, so this loses no
+link, and a family of copies that differ by changes of their own does not meet itself. A pair within a component needs no
+comparison, as it can't change the result.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import lean, perhaps_listed, release, written
+from weftline.llm._shared import lean, perhaps_listed, release, runs_of, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, mix64, row_ranges, shingle_hashes, span_hashes, stream64, word_spans
 from weftline.llm.graph import components
 
@@ -30,9 +32,8 @@ from weftline.llm.graph import components
 SHINGLE, SIMILAR = 5, (75, 100)
 #: Bands and registers in each: a pair at the threshold shares no band with a probability of (1 - 0.75 ** 5) ** 51 = 1e-6.
 BANDS, BAND = 51, 5
-#: Finer bands, of registers drawn at random, in which only classes meet that the first bands leave undecided: a pair at the
-#: threshold shares none of them with a probability of about 3e-4, one of similarity 0.4 shares one with 0.02.
-FINE_BANDS, FINE_BAND = 200, 10
+#: Classes that share a rare shingle meet in blocks of about so many where there are more of them.
+BLOCK = 256
 #: Base, rate and largest exponent of the registers.
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 #: A pair is excluded unverified if its likelihood at the threshold is below that at its estimate by so much (6.3 standard errors).
@@ -135,22 +136,13 @@ def sketches(df: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def bands_of(bands: int, band: int, disjoint: bool) -> np.ndarray:
-    """Register numbers by band: consecutive ones, or ones drawn at random for each band."""
-    if disjoint:
-        return np.arange(bands * band).reshape(bands, band)
-    return np.argsort(stream64(79, bands * BANDS * BAND).reshape(bands, -1), axis=1)[:, :band]
-
-
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     data, _ = column_bytes(column)
     return data.view(np.uint16).reshape(-1, width)
 
 
-def band_keys(classes: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(bucket, node): a row for each band of each class; equal registers of a band give equal buckets. chosen: a row of
-    register numbers for each band."""
-    bands, band = chosen.shape
+def band_keys(classes: DataFrame, bands: int = BANDS, band: int = BAND) -> DataFrame:
+    """(bucket, node): a row for each band of each class; equal registers of a band give equal buckets."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +151,8 @@ def band_keys(classes: DataFrame, chosen: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                registers = mix64(_matrix(part.column(1), BANDS * BAND).astype(np.uint64) + np.uint64(1))
-                keys = mix64((registers[:, chosen] * factors).sum(axis=2) + salt)
+                registers = mix64(_matrix(part.column(1), bands * band).astype(np.uint64) + np.uint64(1))
+                keys = mix64((registers.reshape(-1, bands, band) * factors).sum(axis=2) + salt)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), bands), pa.int64())], ["bucket", "node"])
 
     return classes.select("node", "registers").mapInArrow(run, "bucket long, node long")
@@ -188,14 +180,19 @@ def _not_excluded(pairs: DataFrame, classes: DataFrame, similar: tuple[int, int]
     return rows.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text: str, k: int, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough."""
+def _texts_of(nodes: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(node, text) for each distinct node: a text whose set is that of the class."""
     # all tables here grow with the input: merge joins keep the plan the same at every size
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep").hint("merge"), "node"), "wanted")
+    wanted = written(nodes.distinct().join(classes.select("node", "rep").hint("merge"), "node"), "wanted")
     texts = df.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text).alias("h")).alias("rep"), F.col(text).alias("text"))
     texts = perhaps_listed(texts, F.col("rep.h"), wanted.select(F.col("rep.h").alias("h")), "h")
     texts = texts.join(wanted.hint("merge"), (texts["rep.i"].eqNullSafe(wanted["rep.i"])) & (texts["rep.h"] == wanted["rep.h"])).select("node", "text")
-    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "wanted-texts")
+    return written(texts.groupBy("node").agg(F.first("text").alias("text")), "wanted-texts")
+
+
+def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text: str, k: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), df, classes, id_col, text)
     rows = pairs
     for c in "ab":
         rows = rows.join(texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}")).hint("merge"), c)
@@ -234,17 +231,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     drawn = written(sketches(rows).drop("text"), "sketches")
     classes = drawn.where("n_shingles > 0").groupBy("set_print").agg(F.min("id").alias("least"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("rep"), F.min("h").alias("h"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = written(classes.withColumn("rep", F.struct(F.col("rep.id").alias("i"), F.coalesce("rep.h", "h").alias("h"))).drop("h").withColumn("node", F.monotonically_increasing_id()), "classes")
-    coarse = bands_of(BANDS, BAND, True)
-    pivots = written(band_keys(classes, coarse).groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot"), "pivots")
-    shared = written(band_keys(classes, coarse).join(pivots.hint("merge"), "bucket"), "buckets")
+    pivots = written(band_keys(classes).groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot"), "pivots")
+    shared = written(band_keys(classes).join(pivots.hint("merge"), "bucket"), "buckets")
     stars = written(_not_excluded(shared.where("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), classes, similar), "pairs")
     links = _verified(stars, df, classes, id_col, text, k, similar)
     release(pivots)
     reached = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # what shares a bucket and is still apart
-    apart = _apart(_mixed(shared.select("bucket", "node"), reached).select("node").distinct(), classes, reached)
+    undecided = written(_undecided(shared.select("bucket", "node"), reached), "undecided")
+    release(shared)
+    texts = _texts_of(undecided.select("node"), df, classes, id_col, text)
+    postings = written(_rarest(undecided, texts, classes, k, similar), "rarest")
+    apart = _sharing(postings, classes, similar)
     rest = written(_not_excluded(apart.join(stars.hint("merge"), ["a", "b"], "left_anti"), classes, similar), "pairs")
     more = _verified(rest, df, classes, id_col, text, k, similar)
+    release(texts, postings, rest, stars)
     reached = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.select("set_print", "node", "least").join(reached.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -254,22 +254,65 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _mixed(rows: DataFrame, reached: DataFrame) -> DataFrame:
-    """(bucket, node, root): the members of buckets that hold several components."""
-    rows = rows.join(reached.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _undecided(shared: DataFrame, reached: DataFrame) -> DataFrame:
+    """(node, root): the members of buckets that hold several components, once each."""
+    rows = shared.join(reached.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    return rows.join(written(mixed, "mixed").hint("merge"), "bucket")
-
-
-def _apart(undecided: DataFrame, classes: DataFrame, reached: DataFrame) -> DataFrame:
-    """Pairs (a, b) of undecided nodes that share a fine bucket and lie in different components. In each bucket the members outside
-    its largest component meet all members of other components; members of one component never meet."""
-    undecided = written(classes.select("node", "registers").join(written(undecided, "undecided").hint("merge"), "node", "left_semi"), "undecided")
-    rows = written(_mixed(band_keys(undecided, bands_of(FINE_BANDS, FINE_BAND, False)), reached), "fine-buckets")
-    major = written(rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max("n").alias("n"), F.max_by("root", "n").alias("major")).select("bucket", "major"), "majors")
-    minor = rows.join(major.hint("merge"), "bucket").where("root <> major").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), "major")
-    pairs = minor.join(rows.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry")).hint("merge"), "bucket").where("rx <> ry AND (ry = major OR x < y)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return rows.join(written(mixed, "mixed").hint("merge"), "bucket").select("node", "root").distinct()
+
+
+def _rarest(undecided: DataFrame, texts: DataFrame, classes: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
+    """(shingle, node, root, n_shingles, n): the rarest shingles of each node, as many as two similar sets need to have one in common,
+    but for those that only one component has; n: nodes that have the shingle among their rarest. Rare is what few undecided nodes have."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, hashes, sets in shingle_sets(*column_bytes(batch.column(3)), k):
+                part = pa.array(sets + low)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *(batch.column(j).take(part) for j in range(3))], ["shingle", "node", "root", "n_shingles"])
+
+    named = texts.join(undecided.hint("merge"), "node").join(classes.select("node", "n_shingles").hint("merge"), "node")
+    sets = written(named.select("node", "root", "n_shingles", "text").mapInArrow(run, "shingle long, node long, root long, n_shingles long"), "sets")
+    held = sets.groupBy("shingle").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
+    ranked = sets.join(held.where("held > 1").hint("merge"), "shingle", "left")
+    order = Window.partitionBy("node").orderBy(F.coalesce("held", F.lit(1)), "shingle")
+    enough = F.expr(f"n_shingles - ({similar[0]} * n_shingles + {similar[1] - 1}) div {similar[1]} + 1")
+    rarest = written(ranked.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= enough) & (F.col("low") < F.col("high"))).select("shingle", "node", "root", "n_shingles"), "rarest")
+    release(sets)
+    lists = rarest.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle", "n")
+    return rarest.join(lists.hint("merge"), "shingle")
+
+
+def _sharing(postings: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share one of their rarest shingles. Where many nodes share it, they are dealt to
+    blocks, and each two blocks are compared by their registers within a task, which gives only the pairs that these don't exclude."""
+    few = postings.where(F.col("n") <= BLOCK)
+    x, y = (few.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n_shingles"))) for s in "xy")
+    near = (F.least("n_shingles_x", "n_shingles_y") * similar[1]) >= (F.greatest("n_shingles_x", "n_shingles_y") * similar[0])
+    met = x.join(y.hint("merge"), "shingle").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & near)
+
+    many = postings.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = many.join(classes.select("node", "registers").hint("merge"), "node").select("shingle", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"), "node", "root", "n_shingles", "registers")
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, least = SetSketch(), similar[0] / similar[1]
+        for rows in runs_of(batches, ["shingle", "one", "two"]):
+            node, root, size, first, second = (rows[c].to_numpy() for c in ("node", "root", "n_shingles", "first", "second"))
+            registers, others = _matrix(rows["registers"], sketch.size), np.flatnonzero(second)
+            both = first & second
+            for i in np.flatnonzero(first):
+                against = others[(root[others] != root[i]) & (~both[others] | (node[others] > node[i]))]
+                against = against[np.minimum(size[against], size[i]) * similar[1] >= np.maximum(size[against], size[i]) * similar[0]]
+                if len(against):
+                    likely, doubt = sketch.similarity(registers[against], registers[i][None], size[against].astype(float), np.full(len(against), float(size[i])), least)
+                    got = node[against[(likely >= least) | (doubt <= DOUBT)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(got, node[i])), pa.array(np.maximum(got, node[i]))], ["a", "b"])
+
+    blocks = dealt.repartition("shingle", "one", "two").sortWithinPartitions("shingle", "one", "two").mapInArrow(run, "a long, b long")
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).unionByName(blocks).distinct()
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

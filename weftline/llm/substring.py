@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import FILTER_BITS, lean, perhaps_listed, release, written
+from weftline.llm._shared import FILTER_BITS, lean, perhaps_listed, release, runs_of, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, row_ranges, shingle_hashes, span_hashes, word_spans
 
 K, WINDOW = 5, 20
@@ -255,27 +255,6 @@ def passages(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int
     return out
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows of equal keys, which stand together, as one table each."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        columns = [np.asarray(batch.column(c)) for c in keys]
-        new = np.zeros(len(batch) - 1, bool)
-        for c in columns:
-            new |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = batch.slice(a, b - a)
-            if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in keys):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def chains(matches: DataFrame, kind: str) -> DataFrame:
     """(id, h, source, source_h, xs, ys): all chains of matches of a text with a source in one row; alignment decides on short ones."""
     schema = f"id {kind}, h long, source {kind}, source_h long, xs array<array<int>>, ys array<array<int>>"
@@ -290,7 +269,7 @@ def chains(matches: DataFrame, kind: str) -> DataFrame:
             kinds = [None, pa.int64(), None, pa.int64(), *[pa.list_(pa.list_(pa.int32()))] * 2]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(got, kinds, strict=True)], ["id", "h", "source", "source_h", "xs", "ys"])
 
-        for own in _runs_of(batches, ["id", "h", "source", "source_h"]):
+        for own in runs_of(batches, ["id", "h", "source", "source_h"]):
             x, y = np.unique(np.stack([own[c].to_numpy().astype(np.int64) for c in ("at", "source_at")], axis=1), axis=0).T
             key = [own[c][0].as_py() for c in ("id", "h", "source", "source_h")]
             own_chains = chain(x, y)
@@ -376,7 +355,7 @@ def exact_stretches(df: DataFrame, matches: DataFrame, aligned: DataFrame, id_co
 
     @lean
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _runs_of(batches, ["id", "h", "source", "source_h"]):
+        for own in runs_of(batches, ["id", "h", "source", "source_h"]):
             x, y = (own[c].to_numpy().astype(np.int64) for c in ("at", "source_at"))
             order = np.lexsort((x, x - y))
             x, y = x[order], y[order]
@@ -399,7 +378,7 @@ def exact_stretches(df: DataFrame, matches: DataFrame, aligned: DataFrame, id_co
 
 def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Aligned passages, and those exact stretches of a text that lie in no passage of it."""
-    for own in _runs_of(batches, ["id", "h"]):
+    for own in runs_of(batches, ["id", "h"]):
         start, n, exact = (own[c].to_numpy() for c in ("start", "n_words", "exact"))
         # the longest exact stretches first, so that each is held against all that could hold it
         keep = ~exact
