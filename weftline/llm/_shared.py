@@ -103,6 +103,26 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 14) -> Iterator[pa.Table]:
+    """Tables of so many rows or more, each of which holds all rows of the keys in it; rows of equal keys must stand together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        last = np.ones(len(table), bool)
+        for c in keys:
+            column = table[c].to_numpy()
+            last &= column == column[-1]
+        cut = len(table) - int(np.argmin(last[::-1])) if not last.all() else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).combine_chunks().to_batches()
+    if held and sum(map(len, held)):
+        yield pa.Table.from_batches(held)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder below the shared one, by Spark's own file system classes."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

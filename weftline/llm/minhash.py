@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import lean, perhaps_listed, release, runs_of, written
+from weftline.llm._shared import lean, perhaps_listed, release, whole_runs, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, mix64, row_ranges, shingle_hashes, span_hashes, stream64, word_spans
 from weftline.llm.graph import components
 
@@ -34,6 +34,8 @@ SHINGLE, SIMILAR = 5, (75, 100)
 BANDS, BAND = 51, 5
 #: Classes that share a rare shingle meet in blocks of about so many where there are more of them.
 BLOCK = 256
+#: Bits that say how many shingles two sets at least don't share.
+PARITY = 2048
 #: Base, rate and largest exponent of the registers.
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 #: A pair is excluded unverified if its likelihood at the threshold is below that at its estimate by so much (6.3 standard errors).
@@ -241,7 +243,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     release(shared)
     texts = _texts_of(undecided.select("node"), df, classes, id_col, text)
     postings = written(_rarest(undecided, texts, classes, k, similar), "rarest")
-    apart = _sharing(postings, classes, similar)
+    apart = _sharing(postings, _parities(texts, k), similar)
     rest = written(_not_excluded(apart.join(stars.hint("merge"), ["a", "b"], "left_anti"), classes, similar), "pairs")
     more = _verified(rest, df, classes, id_col, text, k, similar)
     release(texts, postings, rest, stars)
@@ -262,8 +264,9 @@ def _undecided(shared: DataFrame, reached: DataFrame) -> DataFrame:
 
 
 def _rarest(undecided: DataFrame, texts: DataFrame, classes: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
-    """(shingle, node, root, n_shingles, n): the rarest shingles of each node, as many as two similar sets need to have one in common,
-    but for those that only one component has; n: nodes that have the shingle among their rarest. Rare is what few undecided nodes have."""
+    """(shingle, node, root, n_shingles, after, n): the rarest shingles of each node, as many as two similar sets need to have one in common,
+    but for those that only one component has. Rare is what few undecided nodes have; after: the node's shingles that are less rare;
+    n: nodes that have the shingle among their rarest."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,41 +281,56 @@ def _rarest(undecided: DataFrame, texts: DataFrame, classes: DataFrame, k: int,
     ranked = sets.join(held.where("held > 1").hint("merge"), "shingle", "left")
     order = Window.partitionBy("node").orderBy(F.coalesce("held", F.lit(1)), "shingle")
     enough = F.expr(f"n_shingles - ({similar[0]} * n_shingles + {similar[1] - 1}) div {similar[1]} + 1")
-    rarest = written(ranked.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= enough) & (F.col("low") < F.col("high"))).select("shingle", "node", "root", "n_shingles"), "rarest")
+    rarest = written(ranked.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= enough) & (F.col("low") < F.col("high"))).select("shingle", "node", "root", "n_shingles", (F.col("n_shingles") - F.col("rank")).alias("after")), "rarest")
     release(sets)
     lists = rarest.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle", "n")
     return rarest.join(lists.hint("merge"), "shingle")
 
 
-def _sharing(postings: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that share one of their rarest shingles. Where many nodes share it, they are dealt to
-    blocks, and each two blocks are compared by their registers within a task, which gives only the pairs that these don't exclude."""
-    few = postings.where(F.col("n") <= BLOCK)
-    x, y = (few.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n_shingles"))) for s in "xy")
-    near = (F.least("n_shingles_x", "n_shingles_y") * similar[1]) >= (F.greatest("n_shingles_x", "n_shingles_y") * similar[0])
-    met = x.join(y.hint("merge"), "shingle").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & near)
+def _parities(texts: DataFrame, k: int) -> DataFrame:
+    """(node, parity): PARITY bits of each set, each the parity of the shingles that fall on it. The bits in which two sets
+    differ are no more than the shingles that only one of them has."""
 
-    many = postings.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    many = many.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = many.join(classes.select("node", "registers").hint("merge"), "node").select("shingle", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"), "node", "root", "n_shingles", "registers")
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, hashes, sets in shingle_sets(*column_bytes(batch.column(1)), k):
+                edge = np.searchsorted(sets, np.arange(high - low + 1))
+                bits = [np.packbits(np.bincount((x & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) % 2 == 1).tobytes() for x in map(hashes.__getitem__, map(slice, edge[:-1], edge[1:]))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(bits, pa.binary())], ["node", "parity"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, parity binary")
+
+
+def _sharing(postings: DataFrame, parities: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share one of their rarest shingles and may be similar: so many shingles come
+    after it (the rarest one that a pair shares says so of all that are), and so few bits differ. The nodes that share a shingle are
+    dealt to blocks, and each two blocks meet within a task, which gives only these pairs."""
+    dealt = postings.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(parities.hint("merge"), "node").select("shingle", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") <= F.col("other")).alias("first"), "node", "root", "n_shingles", "after", "parity")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, least = SetSketch(), similar[0] / similar[1]
-        for rows in runs_of(batches, ["shingle", "one", "two"]):
-            node, root, size, first, second = (rows[c].to_numpy() for c in ("node", "root", "n_shingles", "first", "second"))
-            registers, others = _matrix(rows["registers"], sketch.size), np.flatnonzero(second)
-            both = first & second
-            for i in np.flatnonzero(first):
-                against = others[(root[others] != root[i]) & (~both[others] | (node[others] > node[i]))]
-                against = against[np.minimum(size[against], size[i]) * similar[1] >= np.maximum(size[against], size[i]) * similar[0]]
-                if len(against):
-                    likely, doubt = sketch.similarity(registers[against], registers[i][None], size[against].astype(float), np.full(len(against), float(size[i])), least)
-                    got = node[against[(likely >= least) | (doubt <= DOUBT)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(got, node[i])), pa.array(np.maximum(got, node[i]))], ["a", "b"])
-
-    blocks = dealt.repartition("shingle", "one", "two").sortWithinPartitions("shingle", "one", "two").mapInArrow(run, "a long, b long")
-    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).unionByName(blocks).distinct()
+        for rows in whole_runs(batches, ["shingle", "one", "two"]):
+            node, root, size, after, first, one, two = (rows[c].to_numpy() for c in ("node", "root", "n_shingles", "after", "first", "one", "two"))
+            parity = column_bytes(rows["parity"])[0].view(np.uint64).reshape(len(node), -1)
+            key = np.stack([rows["shingle"].to_numpy(), one, two])
+            begin = np.maximum.accumulate(np.where(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)], np.arange(len(node)), 0))
+            before = np.r_[0, np.cumsum(np.arange(len(node)) - begin)]
+            for low in range(0, int(before[-1]), 1 << 16):
+                # pair number p is of row i, the last with before[i] <= p, and one of the rows of its run before it
+                p = np.arange(low, min(low + (1 << 16), int(before[-1])))
+                i = np.searchsorted(before, p, side="right") - 1
+                j = begin[i] + p - before[i]
+                may = (root[i] != root[j]) & ((one[i] == two[i]) | (first[i] != first[j])) & ((np.minimum(after[i], after[j]) + 1) * sum(similar) >= (size[i] + size[j]) * similar[0])
+                i, j = i[may], j[may]
+                apart = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+                may = (size[i] + size[j] - apart) // 2 * sum(similar) >= (size[i] + size[j]) * similar[0]
+                a, b = node[i[may]], node[j[may]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return dealt.repartition("shingle", "one", "two").sortWithinPartitions("shingle", "one", "two").mapInArrow(run, "a long, b long").distinct()
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
