@@ -137,7 +137,7 @@ def test_proximity(spark):
 
     words = decontaminate.words_of(*column_bytes(pa.array(["quick brown fox"])))[0]
     index = decontaminate.build_index(docs)
-    hits = lambda slop: {r["id"] for r in decontaminate.search(index, decontaminate.Phrases([words]), slop).collect() if r["items"]}
+    hits = lambda slop: {r["id"] for r in decontaminate.search(index, decontaminate.Phrases(["a"], words, np.array([0, len(words)])), slop).collect() if r["items"]}
     assert hits(0) == set() and hits(1) == {1}
 
 

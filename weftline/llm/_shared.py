@@ -82,6 +82,23 @@ def perhaps_listed(df: DataFrame, key: Column, listed: DataFrame, listed_key: st
     return rows.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).select(*columns)
 
 
+def filter_of(listed: DataFrame, key: str) -> np.ndarray:
+    """One bit for each value of 64-bit keys modulo FILTER_BITS: 8 MB, whatever the number of keys."""
+    at = F.pmod(F.col(key), F.lit(FILTER_BITS)) + 1
+    maps = listed.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).toArrow().to_pydict()
+    bits = np.zeros((FILTER_BITS // (1 << 15), 1 << 12), np.uint8)
+    for b, m in zip(maps["b"], maps["m"], strict=True):
+        bits[b - 1] = np.frombuffer(m, np.uint8)
+    return bits.ravel()
+
+
+def matching(df: DataFrame, key: tuple[Column, Column], pairs: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of df, with all their columns whatever their names, whose (id, hash) is (left_anti: is not) among the rows (i, h) of
+    pairs; a null id equals a null id, a null hash a null hash."""
+    rows = df.select(F.struct(F.struct(*df.columns).alias("row"), key[0].alias("i"), key[1].alias("h")).alias("of"))
+    return rows.join(pairs, F.col("of.i").eqNullSafe(pairs["i"]) & F.col("of.h").eqNullSafe(pairs["h"]), how).select("of.row.*")
+
+
 def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Rows of equal keys, which stand together, as one table each."""
     held: list[pa.RecordBatch] = []

@@ -14,21 +14,22 @@ phrase match; with `slop` s each term may lie up to s words from its place (a pr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import lean, written
+from weftline.llm._shared import FILTER_BITS, filter_of, lean, matching, written
 from weftline.llm._text import ALNUM, LOWER, column_bytes, list_array, row_ranges, span_hashes, word_spans
 
 #: Words in a window of a test item.
 WINDOW = 13
-#: Test texts of more bytes than this are taken in several parts, each of which is sent to the executors by itself.
-PART_BYTES = 16 << 20
+#: Test items are taken in parts of about so many bytes of text, one after another; the driver and the executors hold the windows of one part.
+PART_BYTES = 4 << 20
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,21 +40,25 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Phrases:
-    """Distinct phrases (rows of term numbers, by length) and the items that hold each; terms are sorted hashes."""
-
-    def __init__(self, item_words: list[np.ndarray], window: int = WINDOW) -> None:
-        found: dict[tuple, set[int]] = {}
-        for item, words in enumerate(item_words):
-            if len(words):
-                k = min(window, len(words))
-                for at in range(len(words) - k + 1):
-                    found.setdefault(tuple(words[at : at + k].tolist()), set()).add(item)
-        self.terms = np.unique(np.array([t for p in found for t in p], np.uint64))
-        self.groups: list[tuple[np.ndarray, list[np.ndarray]]] = []
-        for k in sorted({len(p) for p in found}):
-            own = sorted(p for p in found if len(p) == k)
-            numbers = np.searchsorted(self.terms, np.array(own, np.uint64))
-            self.groups.append((numbers, [np.array(sorted(found[p]), np.int64) for p in own]))
+    """Distinct phrases (rows of term numbers, by length) and the items that hold each; terms are sorted hashes.
+
+    names: an id for each item; words[at[i]:at[i + 1]] are the hashes of item i's words.
+    """
+
+    def __init__(self, names: list[str], words: np.ndarray, at: np.ndarray, window: int = WINDOW) -> None:
+        self.names = pa.array(names, pa.string())
+        self.terms, number = np.unique(words, return_inverse=True)
+        number, length = number.astype(np.int32), np.diff(at)
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = np.minimum(length, window)
+        for k in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == k)
+            windows = length[own] - k + 1
+            item = np.repeat(own, windows)
+            start = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows) + at[item]
+            phrases, which = np.unique(np.lib.stride_tricks.sliding_window_view(number, k)[start], axis=0, return_inverse=True)
+            both = np.unique(np.stack([which.ravel(), item], axis=1), axis=0)
+            self.groups.append((phrases, np.searchsorted(both[:, 0], np.arange(len(phrases) + 1)), both[:, 1]))
 
 
 def _near(lists: np.ndarray, at: np.ndarray, slop: int) -> np.ndarray:
@@ -71,7 +76,7 @@ def _block_matches(terms: np.ndarray, list_at: np.ndarray, positions: np.ndarray
     place[number[known]] = np.flatnonzero(known)
     count = np.zeros(len(phrases.terms), np.int64)
     count[number[known]] = (list_at[1:] - list_at[:-1])[known]
-    for numbers, items in phrases.groups:
+    for numbers, item_at, items in phrases.groups:
         counts = count[numbers]
         alive = np.flatnonzero(counts.min(axis=1) > 0)
         order = np.argsort(counts[alive], axis=1, kind="stable")
@@ -84,16 +89,25 @@ def _block_matches(terms: np.ndarray, list_at: np.ndarray, positions: np.ndarray
                 if not len(starts):
                     break
             if len(starts):
-                yield starts, len(by_rarity), items[row]
+                yield starts, len(by_rarity), items[item_at[row] : item_at[row + 1]]
+
 
+def _listed(bits: np.ndarray | None, words: np.ndarray) -> np.ndarray:
+    """Whether the bit of each word is set; all words without a filter."""
+    if bits is None:
+        return np.ones(len(words), bool)
+    place = words & np.uint64(FILTER_BITS - 1)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-def build_index(df: DataFrame, id_col: str = "doc_id", text: str = "text", terms: np.ndarray | None = None, block: int = 4 << 20, name: str = "postings") -> DataFrame:
+
+def build_index(df: DataFrame, id_col: str = "doc_id", text: str = "text", wanted: DataFrame | None = None, block: int = 4 << 20, name: str = "postings") -> DataFrame:
     """Stores the positional index of the texts and returns it as a table, a row for each block of documents.
 
-    terms: sorted hashes of the only terms that are wanted (those of the test items, say); None for all. Null and
-    empty texts are rows without words. Repeated rows and ids are kept as rows of their own. Texts may be of any
-    length: a block has one document at least. An empty table gives an empty index.
+    wanted: word hashes (column `word`); only the words of these, and those that share a bit with one in a filter of a fixed
+    size, are indexed; None for all. Null and empty texts are rows without words. Repeated rows and ids are kept as rows of
+    their own. Texts may be of any length: a block has one document at least. An empty table gives an empty index.
     """
+    bits = None if wanted is None else filter_of(wanted, "word")
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.ArrayType(t)) for c, t in (("row_at", T.IntegerType()), ("term", T.LongType()), ("list_at", T.IntegerType()), ("gap", T.IntegerType())))])
 
@@ -106,9 +120,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text: str = "text", terms
                 words, rows = words_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 row_at = np.searchsorted(rows, np.arange(high - low + 1))
                 at = np.arange(len(words))
-                if terms is not None and len(words):
-                    k = np.minimum(np.searchsorted(terms, words), max(len(terms) - 1, 0))
-                    at = np.flatnonzero(terms[k] == words) if len(terms) else at[:0]
+                at = at[_listed(bits, words)]
                 order = at[np.argsort(words[at], kind="stable")]
                 term, first = np.unique(words[order], return_index=True)
                 list_at = np.r_[first, len(order)]
@@ -122,10 +134,10 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text: str = "text", terms
 
 
 def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
-    """For each row of the indexed table: block, row (its number there), id, n_words, starts and lengths of the words that
-    matches cover, as ascending disjoint spans, and items (numbers of the items that have a match there, ascending)."""
+    """For each row of the indexed table that has a match: block, row (its number there), id, starts and lengths of the words that
+    matches cover, as ascending disjoint spans, and items (names of the items that have a match there)."""
     kind = index.schema["ids"].dataType.elementType
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("id", kind), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "lengths", "items"))])
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("id", kind), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "lengths")), T.StructField("items", T.ArrayType(T.StringType()))])
     sent = index.sparkSession.sparkContext.broadcast(phrases)
 
     @lean
@@ -137,7 +149,7 @@ def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
                 total = np.cumsum(gap, dtype=np.int64)
                 shift = np.r_[0, total][list_at[:-1]]
                 positions = total - np.repeat(shift, np.diff(list_at))
-                n, n_words = len(row_at) - 1, int(row_at[-1])
+                n_words = int(row_at[-1])
                 edge = np.zeros(n_words + 1, np.int64)
                 has_rows, has_items = [], []
                 for starts, k, items in _block_matches(term.view(np.uint64), list_at, positions, sent.value, slop):
@@ -152,32 +164,39 @@ def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
                     low = np.unique(low)
                     has_rows.append(np.repeat(low, len(items)))
                     has_items.append(np.tile(items, len(low)))
+                if not has_rows or not sum(map(len, has_rows)):
+                    continue
                 hit = np.cumsum(edge[:-1]) > 0
                 starts, ends, rows = word_spans(hit.view(np.uint8), row_at.astype(np.int64), np.arange(256) > 0)
-                span_at = np.searchsorted(rows, np.arange(n + 1))
-                both = np.unique(np.stack([np.concatenate(has_rows), np.concatenate(has_items)], axis=1), axis=0) if has_rows else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("block")[i].as_py()] * n, pa.string()), pa.array(np.arange(n), pa.int32()), part["ids"], pa.array(np.diff(row_at), pa.int64()), list_array(starts - row_at[rows], span_at, pa.int64()), list_array(ends - starts, span_at, pa.int64()), list_array(both[:, 1], np.searchsorted(both[:, 0], np.arange(n + 1)), pa.int64())], schema.names
-                )
+                both = np.unique(np.stack([np.concatenate(has_rows), np.concatenate(has_items)], axis=1), axis=0)
+                own, item_at = np.unique(both[:, 0], return_index=True)
+                span_at = np.r_[np.searchsorted(rows, own), len(rows)]
+                names = pa.ListArray.from_arrays(pa.array(np.r_[item_at, len(both)], pa.int32()), sent.value.names.take(pa.array(both[:, 1])))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * len(own), pa.string()), pa.array(own, pa.int32()), part["ids"].take(pa.array(own)), list_array(starts - row_at[rows], span_at, pa.int64()), list_array(ends - starts, span_at, pa.int64()), names], schema.names)
 
     return index.mapInArrow(run, schema)
 
 
-def _test_parts(items: DataFrame, item_id: str, text: str) -> tuple[int, Iterator[tuple[list, list[np.ndarray]]]]:
-    """The number of parts of a bounded size, and the items of each: ids and word hashes. Items without id or text are left out."""
-    items = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t"))
+def _windows(items: DataFrame, window: int) -> Iterator[Phrases]:
+    """The phrases of items (i, t), part by part of a bounded size."""
     size = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0)).alias("n")).head()["n"]
     parts = max(1, -(-size // PART_BYTES))
+    for k in range(parts):
+        got = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).toArrow()
+        words, rows = words_of(*column_bytes(got.column("t")))
+        yield Phrases([str(i) for i in got.column("i").to_pylist()], words, np.searchsorted(rows, np.arange(len(got) + 1)), window)
 
-    def each() -> Iterator[tuple[list, list[np.ndarray]]]:
-        for k in range(parts):
-            got = (items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)).toArrow()
-            data, offsets = column_bytes(got.column("t"))
-            words, rows = words_of(data, offsets)
-            at = np.searchsorted(rows, np.arange(len(got) + 1))
-            yield got.column("i").to_pylist(), [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    return parts, each()
+def _words_in(texts: DataFrame) -> DataFrame:
+    """(word): the hashes of the words of column t."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, _ = words_of(*column_bytes(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words).view(np.int64))], ["word"])
+
+    return texts.select("t").mapInArrow(run, "word long")
 
 
 def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -188,55 +207,25 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     null id or text are left out; two items of one id count as one. Documents without words are never contaminated.
     Repeated rows give a row each; other columns are not read. Without items every document is clean.
     """
-    spark: SparkSession = df.sparkSession
-    id_type = T.ArrayType(T.StringType())
-    n_parts, parts = _test_parts(items, item_id, item_text)
-    one = n_parts == 1
-    index = None
-    found = []
-    for ids, words in parts:
-        phrases = Phrases(words, window)
-        if index is None:
-            index = build_index(df, id_col, text, phrases.terms if one else None)
-        names = spark.sparkContext.broadcast([str(i) for i in ids])
-        found.append((search(index, phrases, slop), names))
-    if one:
-        rows, names = found[0]
-        rows = rows.withColumn("n_hit", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))
-        text_items = _names(rows, names, id_type)
-    else:
-        # spans of the parts may overlap: their union is counted word by word
-        both = None
-        for rows, names in found:
-            rows = _names(rows, names, id_type).withColumn("spans", F.arrays_zip("starts", "lengths")).select("block", "row", "id", "n_words", "spans", "items")
-            both = rows if both is None else both.unionByName(rows)
-        grouped = both.groupBy("block", "row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        step = F.expr("aggregate(array_sort(spans), named_struct('n', 0L, 'at', 0L), (a, s) -> named_struct('n', a.n + greatest(0L, s.starts + s.lengths - greatest(a.at, s.starts)), 'at', greatest(a.at, s.starts + s.lengths)), a -> a.n)")
-        text_items = grouped.withColumn("n_hit", step)
-    return text_items.select(F.col("id").alias(id_col), "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
-
-
-def _names(rows: DataFrame, names, kind: T.DataType) -> DataFrame:
-    """Item numbers to item ids."""
-    schema = T.StructType([*(f for f in rows.schema if f.name != "items"), T.StructField("items", kind)])
-    keep = [f.name for f in rows.schema if f.name != "items"]
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(names.value, pa.string())
-        for batch in batches:
-            lists = batch.column("items")
-            out = pa.ListArray.from_arrays(lists.offsets, table.take(lists.values))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out], schema.names)
-
-    return rows.select(*keep, "items").mapInArrow(run, schema)
+    items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+    index = build_index(df, id_col, text, _words_in(items))
+    found = [written(search(index, phrases, slop), "matches") for phrases in _windows(items, window)]
+    # spans of several parts may overlap: their union is counted word by word
+    rows = reduce(DataFrame.unionByName, found).select("block", "row", F.arrays_zip("starts", "lengths").alias("spans"), "items")
+    rows = rows.groupBy("block", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    step = F.expr("aggregate(array_sort(spans), named_struct('n', 0L, 'at', 0L), (a, s) -> named_struct('n', a.n + greatest(0L, s.starts + s.lengths - greatest(a.at, s.starts)), 'at', greatest(a.at, s.starts + s.lengths)), a -> a.n)")
+    rows = rows.select("block", "row", step.alias("n_hit"), "items")
+    texts = index.select("block", F.posexplode(F.arrays_zip("ids", F.slice("row_at", F.lit(1), F.size("ids")).alias("low"), F.slice("row_at", F.lit(2), F.size("ids")).alias("high"))).alias("row", "text"))
+    texts = texts.select("block", "row", F.col("text.ids").alias("id"), (F.col("text.high") - F.col("text.low")).cast("long").alias("n_words"))
+    out = texts.join(rows.hint("merge"), ["block", "row"], "left")
+    n_hit, no_item = F.coalesce("n_hit", F.lit(0).cast("long")), F.array().cast("array<string>")
+    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", no_item).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def clean_documents(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of df, with all their columns, whose text is not contaminated (see `contamination`). Rows with a null id are kept
     unless their text is contaminated under that id, which equals no other: they are judged by their own text."""
-    columns = df.columns
-    key = "_row_text"
-    marked = df.withColumn(key, F.struct(F.col(id_col).alias("i"), F.xxhash64(F.col(text)).alias("h")))
-    flagged = written(contamination(marked.select(key, text), items, key, text, **options).where("contaminated").select(F.col(f"{key}.i").alias("_i"), F.col(f"{key}.h").alias("_h")).distinct(), "contaminated")
-    return marked.join(flagged, F.col(f"{key}.i").eqNullSafe(F.col("_i")) & (F.col(f"{key}.h") == F.col("_h")), "left_anti").select(*columns)
+    key = F.struct(F.col(id_col).alias("i"), F.xxhash64(F.col(text)).alias("h"))
+    flagged = contamination(df.select(key.alias("key"), F.col(text).alias("text")), items, "key", "text", **options).where("contaminated")
+    flagged = written(flagged.select("key.i", "key.h").distinct(), "contaminated")
+    return matching(df, (F.col(id_col), F.xxhash64(text)), flagged, "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import FILTER_BITS, lean, perhaps_listed, release, runs_of, written
+from weftline.llm._shared import FILTER_BITS, filter_of, lean, perhaps_listed, release, runs_of, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, row_ranges, shingle_hashes, span_hashes, word_spans
 
 K, WINDOW = 5, 20
@@ -283,16 +283,6 @@ def chains(matches: DataFrame, kind: str) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def _filter_of(listed: DataFrame, key: str) -> np.ndarray:
-    """One bit for each value of 64-bit keys modulo FILTER_BITS: 8 MB, whatever the number of keys."""
-    at = F.pmod(F.col(key), F.lit(FILTER_BITS)) + 1
-    maps = listed.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).toArrow().to_pydict()
-    bits = np.zeros((FILTER_BITS // (1 << 15), 1 << 12), np.uint8)
-    for b, m in zip(maps["b"], maps["m"], strict=True):
-        bits[b - 1] = np.frombuffer(m, np.uint8)
-    return bits.ravel()
-
-
 def exact_stretches(df: DataFrame, matches: DataFrame, aligned: DataFrame, id_col: str, text: str, least: int) -> DataFrame:
     """(id, h, start, n_words, source, source_start, source_words, similarity): the words of each text in runs of `least` words that a
     text of a smaller id has word for word, whichever it is: each run meets the smallest id that has all of it, so a text that
@@ -305,7 +295,7 @@ def exact_stretches(df: DataFrame, matches: DataFrame, aligned: DataFrame, id_co
     spans = aligned.groupBy("id", "h").agg(F.collect_set(span).alias("spans"))
     covered = F.exists("spans", lambda x: (F.col("at") >= x["low"]) & ((x["high"] == 2**40) | (F.col("first") & (F.col("at") <= x["high"]))))
     open_ = matches.select("id", "h", "seed", "at", "first").distinct().join(spans.hint("merge"), ["id", "h"], "left").where(~F.coalesce(covered, F.lit(False)))
-    asked = _filter_of(open_.select(F.col("h").bitwiseXOR(F.col("seed")).alias("key")), "key")
+    asked = filter_of(open_.select(F.col("h").bitwiseXOR(F.col("seed")).alias("key")), "key")
 
     def listed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
         place = keys & np.uint64(FILTER_BITS - 1)
@@ -338,7 +328,7 @@ def exact_stretches(df: DataFrame, matches: DataFrame, aligned: DataFrame, id_co
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(runs).view(np.int64))], ["run"])
 
     keyed = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    looked_for = _filter_of(keyed.mapInArrow(wanted, "run long"), "run")
+    looked_for = filter_of(keyed.mapInArrow(wanted, "run long"), "run")
 
     @lean
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
