@@ -66,11 +66,11 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_ranges(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive row ranges of at most so many bytes, of one row at least."""
+def row_ranges(offsets: np.ndarray, most: int, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges of at most so many bytes and rows, of one row at least."""
     low, n = 0, len(offsets) - 1
     while low < n:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, side="right")) - 1)
+        high = max(low + 1, min(low + rows, int(np.searchsorted(offsets, offsets[low] + most, side="right")) - 1))
         yield low, high
         low = high
 

@@ -12,6 +12,7 @@ pretoken, and what a task holds is bounded by the block size and the size of the
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -27,6 +28,8 @@ from weftline.llm._text import column_bytes, gather, list_array, row_ranges, spa
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 _NEVER = np.int32(2**31 - 1)
+#: Bytes of new words, about, whose merges are replayed together; it bounds the memory of the index.
+REPLAY_BYTES = 1 << 19
 
 
 @cache
@@ -34,12 +37,14 @@ def _char_classes() -> np.ndarray:
     """Class of each code point under the pattern's \\p{L}, \\p{N}, \\s and the rest."""
     import regex
 
-    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-    text, at = "".join(points), np.array([ord(x) for x in points], np.uint32)
     out = np.full(0x110000, _OTHER, np.uint8)
-    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, text):
-            out[at[m.start() : m.end()]] = kind
+    for low in range(0, 0x110000, 0x800):  # a few code points at a time; surrogates fill one whole piece
+        if low == 0xD800:
+            continue
+        text = np.arange(low, low + 0x800, dtype=np.uint32).tobytes().decode("utf-32-le")
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
+            for m in regex.finditer(pattern, text):
+                out[low + m.start() : low + m.end()] = kind
     return out
 
 
@@ -138,9 +143,9 @@ class MergeReplay:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         n = int(lengths.sum())
         token = np.r_[self.byte[np.frombuffer(b"".join(words), np.uint8)], np.int32(self.size)]  # the last stands for none
-        word = np.repeat(np.arange(len(words)), lengths)
-        after = np.arange(1, n + 2)
-        before = np.arange(-1, n)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        after = np.arange(1, n + 2, dtype=np.int32)
+        before = np.arange(-1, n, dtype=np.int32)
         bounds = np.cumsum(lengths)
         filled = lengths > 0
         after[bounds[filled] - 1] = n
@@ -169,7 +174,7 @@ class MergeReplay:
                 else:
                     got.append(at[lo:hi])
 
-        enter(np.arange(n))
+        enter(np.arange(n, dtype=np.int32))
         while heap:
             r = heapq.heappop(heap)
             found = index.pop(r)
@@ -246,7 +251,11 @@ class WordCache:
     def add(self, hashes: np.ndarray, words: list[bytes]) -> None:
         if not words:
             return
-        offsets, ids = self.encode_words(words)
+        size = np.cumsum([len(w) for w in words]) // REPLAY_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(words)]
+        parts = [self.encode_words(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        ids = np.concatenate([p[1] for p in parts])
+        offsets = np.r_[0, np.cumsum(np.concatenate([np.diff(p[0]) for p in parts]))]
         place = len(self.offsets) - 1 + np.arange(len(words))
         self.offsets = np.r_[self.offsets, self.offsets[-1] + offsets[1:]]
         self.ids = np.r_[self.ids, ids.astype(np.int32)]
@@ -267,7 +276,7 @@ class Encoded:
         self.low, self.high, self.offsets, self.ids, self.data, self.at = low, high, offsets, ids, data, at
 
 
-def encode_blocks(columns: Iterator[pa.Array], words: WordCache, block: int = 6 << 20, chunk: int = 1 << 20) -> Iterator[tuple[int, Encoded]]:
+def encode_blocks(columns: Iterator[pa.Array], words: WordCache, block: int = 4 << 20, chunk: int = 1 << 20) -> Iterator[tuple[int, Encoded]]:
     """Encodes string columns; gives (number of the column, rows) in order. A block may span several columns."""
     waiting: list = []
     fresh_hashes: list[np.ndarray] = []
@@ -337,30 +346,35 @@ def decode_ids(ids: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndar
     return data, edge[offsets]
 
 
-def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
-    """df with its texts' ids as array<int> in column `ids` and, if `decoded` is given, the bytes that decoding these ids gives.
+def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, decoded_sha256: str | None = None) -> DataFrame:
+    """df with its texts' ids as array<int> in column `ids` and, if `decoded` is given, the bytes that decoding these ids gives;
+    if `decoded_sha256` is given, the lower-case hexadecimal SHA-256 of these bytes.
 
     ranks_path: a rank file (`base64 rank` lines) that every executor can read. Special tokens are never produced.
     Null and empty texts give an empty array and no bytes. A text may be of any length; repeated rows are kept; other
     columns pass through, and one that has the name of an output column is replaced. An empty table gives no rows.
     """
-    outputs = [ids, *([decoded] if decoded else [])]
+    outputs = [ids, *(c for c in (decoded, decoded_sha256) if c)]
     kept = [c for c in df.columns if c not in outputs]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else []))
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else []) + ([T.StructField(decoded_sha256, T.StringType())] if decoded_sha256 else []))
     at = kept.index(text)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from encode_batches(batches, at, _replay_cache(ranks_path), [*kept, *outputs], lambda x: _output(x, ranks_path, bool(decoded)))
+        yield from encode_batches(batches, at, _replay_cache(ranks_path), [*kept, *outputs], lambda x: _output(x, ranks_path, bool(decoded), bool(decoded_sha256)))
 
     return df.select(*kept).mapInArrow(run, schema)
 
 
-def _output(rows: Encoded, ranks_path: str, with_bytes: bool) -> list[pa.Array]:
+def _output(rows: Encoded, ranks_path: str, with_bytes: bool, with_digest: bool) -> list[pa.Array]:
     out = [list_array(rows.ids, rows.offsets, pa.int32())]
-    if with_bytes:
+    if with_bytes or with_digest:
         data, at = decode_ids(rows.ids, rows.offsets, ranks_path)
+    if with_bytes:
         out.append(pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(data)]).cast(pa.binary()))
+    if with_digest:
+        raw = memoryview(np.ascontiguousarray(data))
+        out.append(pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string()))
     return out
 
 

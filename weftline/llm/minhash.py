@@ -99,7 +99,7 @@ class SetSketch:
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(low, high, hashes, sets): the distinct shingles of rows low to high, ascending in each row; sets are numbers from 0."""
-    for low, high in row_ranges(offsets, 2 << 20):
+    for low, high in row_ranges(offsets, 1 << 20, 1024):
         part, at = LOWER[data[offsets[low] : offsets[high]]], offsets[low : high + 1] - offsets[low]
         starts, ends, rows = word_spans(part, at, NOT_SPACE)
         hashes, owner = shingle_hashes(span_hashes(part, starts, ends), rows, k)

@@ -14,8 +14,8 @@ from weftline.llm._shared import table
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded_sha256="decoded_sha256")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest().alias("ids_sha256"), "decoded_sha256")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
