@@ -52,6 +52,48 @@ def rows():
     return out
 
 
+def shared_words(a, b, least=50, k=5, similar=0.75):
+    """Brute force: whether words a, b have in common a passage of `least` words, the 5-word shingles of which are similar."""
+    grams = lambda w: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    return len(grams(a) & grams(b)) >= similar * len(grams(a) | grams(b)) and min(len(a), len(b)) >= least
+
+
+@pytest.mark.parametrize("changes", [0, 1, 2])
+def test_passages_whose_parts_lie_in_smaller_documents(spark, changes):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows, want = [], {}
+    for t in range(150):
+        passage = [word() for _ in range(75)]
+        other = list(passage)
+        for c in range(changes):
+            other[20 + 33 * c] = word()
+        around = lambda n: [word() for _ in range(n)]
+        thirds = [passage[25 * j : 25 * j + 25] + around(8) for j in (2, 1, 0)]
+        assert shared_words(passage, other)
+        rows += [(3 * t, " ".join(sum(thirds, []))), (3 * t + 1, " ".join(around(13) + passage + around(9))), (3 * t + 2, " ".join(around(30) + other + around(5)))]
+        want[3 * t + 2] = set(range(30, 105))
+    found = {}
+    for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+        assert r["doc_id"] in want and r["source_id"] == r["doc_id"] - 1 and r["n_words"] <= 80
+    caught = sum(len(found.get(d, set()) & words) >= 70 for d, words in want.items())
+    assert caught == 150 if not changes else caught >= 149
+
+
+def test_lines_that_repeat_on_and_on(spark):
+    rng = random.Random(12)
+    line, tail = sentence(rng, 7), sentence(rng, 20)
+    rows = [(1, " ".join([line] * 900 + [tail])), (2, " ".join([tail] + [line] * 700)), (3, " ".join([line] * 9 + [sentence(rng, 30)])), (4, " ".join([line] * 5))]
+    got = {}
+    n = 0
+    for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        n += 1
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+    size = len(line.split())
+    assert set(got) == {2, 3} and len(got[2]) >= 700 * size and len(got[3]) >= 9 * size and n < 12
+
+
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, "x", "y", None) for i, t in rows], DOC)

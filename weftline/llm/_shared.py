@@ -92,6 +92,14 @@ def filter_of(listed: DataFrame, key: str) -> np.ndarray:
     return bits.ravel()
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def matching(df: DataFrame, key: tuple[Column, Column], pairs: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of df, with all their columns whatever their names, whose (id, hash) is (left_anti: is not) among the rows (i, h) of
     pairs; a null id equals a null id, a null hash a null hash."""

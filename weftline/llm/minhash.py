@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import lean, perhaps_listed, release, whole_runs, written
+from weftline.llm._shared import lean, matching, perhaps_listed, release, unused, whole_runs, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, mix64, row_ranges, shingle_hashes, span_hashes, stream64, word_spans
 from weftline.llm.graph import components
 
@@ -337,12 +337,10 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     """The rows of df, with all their columns, that `near_duplicates` keeps, each repeated (id, text) once."""
     # rows without id come last
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text).alias("h"))
-    found = near_duplicates(df.select(key.alias("_key"), text), "_key", text, **options)
-    keys = written(found.where("kept").groupBy("_key").agg(F.count("*").alias("_n")), "kept")
-    marked = df.withColumn("_i", F.col(id_col)).withColumn("_h", F.xxhash64(text))
-
-    def of(some: DataFrame) -> DataFrame:
-        return marked.join(some, marked["_i"].eqNullSafe(some["_key.i"]) & (marked["_h"] == some["_key.h"]), "left_semi")
-
-    once, again = of(keys.where("_n = 1")), of(keys.where("_n > 1")).dropDuplicates(["_i", "_h"])
-    return once.unionByName(again).select(*df.columns)
+    found = near_duplicates(df.select(key.alias("key"), F.col(text).alias("text")), "key", "text", **options)
+    keys = written(found.where("kept").groupBy("key.i", "key.h").agg(F.count("*").alias("n")), "kept")
+    own = (F.col(id_col), F.xxhash64(text))
+    again = matching(df, own, keys.where("n > 1"))
+    i, h = unused(df.columns, "i"), unused(df.columns, "h")
+    again = again.withColumn(i, own[0]).withColumn(h, own[1]).dropDuplicates([i, h]).select(*df.columns)
+    return matching(df, own, keys.where("n = 1")).unionByName(again)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import lean
+from weftline.llm._shared import lean, unused
 from weftline.llm._text import ALNUM, LOWER, NOT_SPACE, column_bytes, mix64, row_ranges, span_hashes, stream64, word_spans
 
 #: Longer words also count by their first bytes.
@@ -184,18 +184,18 @@ def train(df: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
     return OrdinalModel.fit(np.asarray(lists.offsets) - lists.offsets[0].as_py(), np.asarray(lists.flatten()), got["g"].to_numpy(), n_grades)
 
 
-def grade(df: DataFrame, model: OrdinalModel | None, text: str = "text", n_grades: int = 3) -> DataFrame:
-    """df with expected_grade and tails (array: the probability of grade >= 1, >= 2, ...).
+def grade(df: DataFrame, model: OrdinalModel | None, text: str = "text", n_grades: int = 3, tails: str = "tails") -> DataFrame:
+    """df with expected_grade and, in the column named by tails, an array (the probability of grade >= 1, >= 2, ...).
 
     Null and empty texts are graded by the shape of an empty text. Without a model both columns are null. Repeated rows are
     graded alike; other columns pass through, and those with the names of the output are replaced. An empty table gives no rows.
     """
-    kept = [c for c in df.columns if c not in ("expected_grade", "tails")]
+    kept = [c for c in df.columns if c not in ("expected_grade", tails)]
     df = df.select(*kept)
     if model is None:
-        return df.withColumn("expected_grade", F.lit(None).cast("double")).withColumn("tails", F.lit(None).cast("array<double>"))
+        return df.withColumn("expected_grade", F.lit(None).cast("double")).withColumn(tails, F.lit(None).cast("array<double>"))
     sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*df.schema, T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*df.schema, T.StructField("expected_grade", T.DoubleType()), T.StructField(tails, T.ArrayType(T.DoubleType()))])
     at = kept.index(text)
 
     @lean
@@ -204,9 +204,9 @@ def grade(df: DataFrame, model: OrdinalModel | None, text: str = "text", n_grade
             data, offsets = column_bytes(batch.column(at))
             for low, high in row_ranges(offsets, 2 << 20):
                 edge, found = features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                tails = sent.value.tails(sent.value.score(edge, found))
-                n, k = tails.shape
-                yield pa.RecordBatch.from_arrays([*batch.slice(low, n).columns, pa.array(tails.sum(axis=1)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(tails.ravel()))], schema.names)
+                p = sent.value.tails(sent.value.score(edge, found))
+                n, k = p.shape
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, n).columns, pa.array(p.sum(axis=1)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(p.ravel()))], schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -218,7 +218,17 @@ def ratings_of(labels: DataFrame) -> DataFrame:
 
 def select(df: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """df with expected_grade, p_harmless (P(grade >= 1)), p_good (P(grade >= 2)) and kept: p_good is at least `least`.
-    Without any rated document all is kept and the other columns are null."""
+    Columns of these names are replaced; others pass through. Without any rated document all is kept and the other columns are null."""
     model = train(df, ratings_of(labels), 3)
-    rows = grade(df, model)
-    return rows.withColumn("p_harmless", F.get("tails", F.lit(0))).withColumn("p_good", F.get("tails", F.lit(1))).withColumn("kept", F.coalesce(F.col("p_good") >= least, F.lit(True))).drop("tails")
+    outputs = ("expected_grade", "p_harmless", "p_good", "kept")
+    kept = [c for c in df.columns if c not in outputs]
+    tails = unused(df.columns, "tails")
+    rows = grade(df.select(*kept), model, tails=tails)
+    p = [F.get(F.col(tails), F.lit(j)) for j in (0, 1)]
+    return rows.select(*kept, "expected_grade", p[0].alias("p_harmless"), p[1].alias("p_good"), F.coalesce(p[1] >= least, F.lit(True)).alias("kept"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of df, with all their columns whatever their names, that `select` keeps; a null or empty text is judged like any other."""
+    whole = df.select(F.col("doc_id"), F.col("text"), F.struct(*df.columns).alias("row"))
+    return select(whole, labels, least).where("kept").select("row.*")

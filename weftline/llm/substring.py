@@ -2,8 +2,8 @@
 
 Seeds are 5-word k-mers picked by winnowing: of any 20 consecutive k-mers of a document the one of the smallest hash, so
 two documents with 24 words in common share a seed. A seed's source is the document of the smallest id;
-every other document's occurrence of the seed is matched with its places there only, so matches are linear in the documents
-however often a passage occurs. The matches of a document with one source are chained: the best sum of ordered matches, less a cost
+every other document's occurrence of the seed is matched with its places there, and, where this gives no passage, with the
+document of the next smaller id, so matches are linear in the documents however often a passage occurs. The matches of a document with one source are chained: the best sum of ordered matches, less a cost
 for the words between them, found with prefix maxima in a Fenwick tree. The words of a chain are then aligned with those of
 its source, within its gaps and beyond its ends, and what is long and similar enough is a repeated passage. As a seed's first
 document may have only a part of a passage that two later ones share, all runs of as many words as a passage has at least
@@ -16,13 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import FILTER_BITS, filter_of, lean, perhaps_listed, release, runs_of, written
+from weftline.llm._shared import FILTER_BITS, filter_of, lean, perhaps_listed, release, runs_of, unused, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, row_ranges, shingle_hashes, span_hashes, word_spans
 
 K, WINDOW = 5, 20
+#: Texts that share a seed meet the next in groups of about so many where there are more of them.
+GROUP = 500
+#: Distance, in k-mers, of the two k-mers beside a seed that are looked at too.
+BESIDE = 12
 #: Words of a passage at least, and the Jaccard similarity of its 5-word shingles to those of its source.
 LEAST, SIMILAR = 50, 0.75
 #: Cost of each word between two matches, in either document; a match is worth its K words, so 50 words in both end a chain.
@@ -62,7 +66,7 @@ def winnow(hashes: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.nda
 
 def _thinned(some: np.ndarray, kmers: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of seeds without those inside a run of equal seeds at equal distances of WINDOW k-mers at most (alignment from its
-    ends passes over the run), and whether a place has an equal seed before it in its row."""
+    ends passes over the run), and how many of the places that are left have an equal seed before them in their row."""
     order = np.lexsort((some, kmers, of))
     at, key, row = some[order], kmers[order], of[order]
     again = np.zeros(len(at), bool)
@@ -70,13 +74,24 @@ def _thinned(some: np.ndarray, kmers: np.ndarray, of: np.ndarray) -> tuple[np.nd
     inside = np.zeros(len(at), bool)
     step = np.diff(at)
     inside[1:-1] = again[1:-1] & again[2:] & (step[1:] == step[:-1]) & (step[1:] <= WINDOW)
-    back = np.argsort(at[~inside], kind="stable")
-    return at[~inside][back], again[~inside][back]
+    at, again = at[~inside], again[~inside]
+    back = np.argsort(at, kind="stable")
+    number = np.arange(len(at))
+    return at[back], (number - np.maximum.accumulate(np.where(again, 0, number)))[back]
+
+
+def _beside(kmers: np.ndarray, of: np.ndarray, some: np.ndarray, away: int = BESIDE) -> np.ndarray:
+    """For places of k-mers: 32 bits of the k-mer `away` before it and of that after it in its row, 0 where the row has none."""
+    half = []
+    for at in (some - away, some + away):
+        inside = np.clip(at, 0, len(of) - 1)
+        half.append(np.where((at == inside) & (of[inside] == of[some]), kmers[inside] >> np.uint64(32), np.uint64(0)))
+    return (half[0] << np.uint64(32) | half[1]).view(np.int64)
 
 
 def seeds(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
-    """(seed, id, h, at, first): the seeds of each text with words at k-mer `at`; first: the text's first place of that seed. Of a
-    line that is repeated on and on only the seeds at its ends are given."""
+    """(seed, id, h, at, nth, beside): the seeds of each text with words at k-mer `at`; nth: how often the text has the seed before;
+    beside: bits of the k-mers around it. Of a line that is repeated on and on only the seeds at its ends are given."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,13 +104,13 @@ def seeds(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K)
                     continue
                 place = np.arange(len(of)) - np.searchsorted(of, of)
                 some = winnow(kmers, of)
-                some, again = _thinned(some, kmers[some], of[some])
+                some, nth = _thinned(some, kmers[some], of[some])
                 part = pa.array(of[some] + low)
-                yield pa.RecordBatch.from_arrays([pa.array(kmers[some].view(np.int64)), batch.column(0).take(part), batch.column(1).take(part), pa.array(place[some], pa.int32()), pa.array(~again)], ["seed", "id", "h", "at", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(kmers[some].view(np.int64)), batch.column(0).take(part), batch.column(1).take(part), pa.array(place[some], pa.int32()), pa.array(nth, pa.int32()), pa.array(_beside(kmers, of, some))], ["seed", "id", "h", "at", "nth", "beside"])
 
     keyed = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     kind = keyed.schema["id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"seed long, id {kind}, h long, at int, first boolean")
+    return keyed.mapInArrow(run, f"seed long, id {kind}, h long, at int, nth int, beside long")
 
 
 def chain(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP) -> list[np.ndarray]:
@@ -256,7 +271,9 @@ def passages(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int
 
 
 def chains(matches: DataFrame, kind: str) -> DataFrame:
-    """(id, h, source, source_h, xs, ys): all chains of matches of a text with a source in one row; alignment decides on short ones."""
+    """(id, h, source, source_h, xs, ys): all chains of matches of a text with a source in one row, but for chains without a match that is `near`
+    (has an equal k-mer at the same distance before or after it, too): these can't be as long as a passage is, unless words beside
+    all of their matches are changed. Alignment decides on the others."""
     schema = f"id {kind}, h long, source {kind}, source_h long, xs array<array<int>>, ys array<array<int>>"
 
     @lean
@@ -270,16 +287,18 @@ def chains(matches: DataFrame, kind: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(got, kinds, strict=True)], ["id", "h", "source", "source_h", "xs", "ys"])
 
         for own in runs_of(batches, ["id", "h", "source", "source_h"]):
-            x, y = np.unique(np.stack([own[c].to_numpy().astype(np.int64) for c in ("at", "source_at")], axis=1), axis=0).T
+            x, y, near = np.unique(np.stack([own[c].to_numpy().astype(np.int64) for c in ("at", "source_at", "near")], axis=1), axis=0).T
+            if not near.any():
+                continue
             key = [own[c][0].as_py() for c in ("id", "h", "source", "source_h")]
-            own_chains = chain(x, y)
+            own_chains = [c for c in chain(x, y) if near[c].any()]
             rows.append((*key, *([c[links].astype(np.int32) for links in own_chains] for c in (x, y))))
             if len(rows) >= 2000:
                 yield out()
         if rows:
             yield out()
 
-    dealt = matches.select("id", "h", "source", "source_h", "at", "source_at").repartition("id", "h").sortWithinPartitions("id", "h", "source", "source_h", "at", "source_at")
+    dealt = matches.select("id", "h", "source", "source_h", "at", "source_at", "near").repartition("id", "h").sortWithinPartitions("id", "h", "source", "source_h", "at", "source_at")
     return dealt.mapInArrow(run, schema)
 
 
@@ -346,20 +365,25 @@ def exact_stretches(df: DataFrame, matches: DataFrame, aligned: DataFrame, id_co
     @lean
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in runs_of(batches, ["id", "h", "source", "source_h"]):
-            x, y = (own[c].to_numpy().astype(np.int64) for c in ("at", "source_at"))
-            order = np.lexsort((x, x - y))
-            x, y = x[order], y[order]
-            cut = np.flatnonzero(np.r_[True, (np.diff(x - y) != 0) | (np.diff(x) > least)])
+            x, y, first = (own[c].to_numpy() for c in ("at", "source_at", "first"))
+            order = np.argsort(x, kind="stable")
+            x, y, first = x[order].astype(np.int64), y[order].astype(np.int64), first[order]
+            # a run that the text has before goes with the stretch that it touches; others begin a new one off their diagonal
+            latest = np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
+            off = np.r_[True, first[1:] & ((x - y)[1:] != (x - y)[latest[:-1]])]
+            cut = np.flatnonzero(off | np.r_[True, np.diff(x) > least])
             last = np.r_[cut[1:], len(x)] - 1
             n = pa.array(x[last] - x[cut] + least)
+            begin = np.minimum.reduceat(y, cut)
+            source_n = pa.array(np.maximum.reduceat(y, cut) - begin + least)
             key = own.slice(0, 1).combine_chunks()
             repeat = lambda c: key[c].take(pa.array(np.zeros(len(cut), np.int64))).combine_chunks()
-            yield pa.RecordBatch.from_arrays([repeat("id"), repeat("h"), pa.array(x[cut]), n, repeat("source"), pa.array(y[cut]), n, pa.array(np.ones(len(cut)))], STRETCH)
+            yield pa.RecordBatch.from_arrays([repeat("id"), repeat("h"), pa.array(x[cut]), n, repeat("source"), pa.array(begin), source_n, pa.array(np.ones(len(cut)))], STRETCH)
 
     found = written(keyed.mapInArrow(grams, f"run long, id {kind}, h long, at int, first boolean"), "runs")
     of = F.when(F.col("first"), F.col("id"))
     source = found.groupBy("run").agg(F.min("id").alias("source"), F.max("id").alias("last"), F.min_by("at", of).alias("source_at"), F.min_by("h", of).alias("source_h")).where("source < last").drop("last")
-    matches = found.join(source.hint("merge"), "run").where("id <> source").select("id", "h", "source", "source_h", "at", "source_at")
+    matches = found.join(source.hint("merge"), "run").where("id <> source").select("id", "h", "source", "source_h", "at", "source_at", "first")
     dealt = matches.repartition("id", "h").sortWithinPartitions("id", "h", "source", "source_h", "at")
     out = written(dealt.mapInArrow(joined, f"id {kind}, h long, start long, n_words long, source {kind}, source_start long, source_words long, similarity double"), "stretches")
     release(found)
@@ -380,24 +404,10 @@ def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from own.filter(pa.array(keep)).select(STRETCH).combine_chunks().to_batches()
 
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
-    """The passages of documents that repeat one of a document with a smaller id: id_col, text_hash (xxhash64 of the text),
-    start and n_words (the passage's words, counted from 0), source_id, source_start, source_words, similarity.
-
-    A passage has `least` words or more, and the 5-word shingles of it and of its source have a Jaccard similarity of `similar` or
-    more. Each run of `least` words that is word for word in a document of a smaller id lies in a listed passage.
-    The first document of a passage is not listed. Rows with a null id or without words take no part; rows of one
-    id are never compared with each other, and repeated rows give the passage once. Other columns are not read.
-    """
+def aligned_passages(df: DataFrame, matches: DataFrame, id_col: str, text: str, least: int, similar: float) -> DataFrame:
+    """(id, h, start, n_words, source, source_start, source_words, similarity, total): the passages that aligning the chains of matches gives;
+    total: words of the text."""
     kind = df.schema[id_col].dataType.simpleString()
-    found = written(seeds(df, id_col, text), "seeds")
-    source = found.groupBy("seed").agg(F.min("id").alias("source"), F.max("id").alias("last"), F.min_by("at", F.when(F.col("first"), F.col("id"))).alias("source_at"), F.min_by("h", F.when(F.col("first"), F.col("id"))).alias("source_h"))
-    source = written(source.where("source < last").drop("last"), "seed-sources")
-    # all tables here grow with the input: merge joins keep the plan the same at every size
-    again = found.where("NOT first").select("seed", "id", "h", "at").join(source.drop("source_at").hint("merge"), "seed").where("id = source AND h = source_h").select("seed", "source", F.col("at").alias("source_at"), "source_h")
-    places = source.unionByName(again)
-    matches = written(found.join(places.hint("merge"), "seed").where("id <> source").select("seed", "id", "h", "at", "first", "source", "source_h", "source_at"), "matches")
-    release(found, source)
     linked = written(chains(matches, kind), "chains")
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(text).alias("j"), F.col(text).alias("t"))
     keys = written(linked.select("id", "h").unionByName(linked.select(F.col("source").alias("id"), F.col("source_h").alias("h"))).distinct(), "chained")
@@ -437,6 +447,57 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     schema = f"id {kind}, h long, start long, n_words long, source {kind}, source_start long, source_words long, similarity double"
     aligned = written(both.select("id", "h", "source", "xs", "ys", "a", "b").mapInArrow(run, schema + ", total long"), "aligned")
     release(linked, texts)
+    return aligned
+
+
+def with_predecessors(matches: DataFrame, aligned: DataFrame) -> DataFrame:
+    """The seeds of matches that lie in no aligned passage of their text, matched with another such place of the seed: that in the text of
+    the next smaller id. So texts meet that share a passage whose seeds have first places elsewhere. A seed of very many texts is
+    dealt to groups, in each of which it meets that of the next smaller id."""
+    spans = aligned.groupBy("id", "h").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words") - K).alias("end"))).alias("spans"))
+    inside = F.exists("spans", lambda x: F.col("at").between(x["start"], x["end"]))
+    rows = matches.where("first").select("seed", "id", "h", "at", "beside").join(spans.hint("merge"), ["id", "h"], "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
+    rows = written(rows, "uncovered")
+    shared = rows.groupBy("seed").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("seed", "n")
+    group = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP))
+    before = Window.partitionBy("seed", "group").orderBy("id", "h", "at")
+    met = rows.join(shared.hint("merge"), "seed").withColumn("group", group)
+    met = met.select("seed", "id", "h", "at", "beside", *(F.lag(c).over(before).alias(n) for c, n in (("id", "source"), ("h", "source_h"), ("at", "source_at"), ("beside", "source_beside"))))
+    return met.where("source <> id").select("id", "h", "at", "source", "source_h", "source_at", _near().alias("near"))
+
+
+def _near():
+    """Whether a k-mer beside a seed is equal in both places."""
+    halves = (lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1))), (lambda c: F.shiftrightunsigned(F.col(c), 32))
+    return F.greatest(*((half("beside") != 0) & (half("beside") == half("source_beside")) for half in halves))
+
+
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
+    """The passages of documents that repeat one of a document with a smaller id: id_col, text_hash (xxhash64 of the text),
+    start and n_words (the passage's words, counted from 0), source_id, source_start, source_words, similarity.
+
+    A passage has `least` words or more, and the 5-word shingles of it and of its source have a Jaccard similarity of `similar` or
+    more. Each run of `least` words that is word for word in a document of a smaller id lies in a listed passage.
+    The first document of a passage is not listed. Rows with a null id or without words take no part; rows of one
+    id are never compared with each other, and repeated rows give the passage once. Other columns are not read.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    found = written(seeds(df, id_col, text), "seeds")
+    first = F.when(F.col("nth") == 0, F.col("id"))
+    source = found.groupBy("seed").agg(F.min("id").alias("source"), F.max("id").alias("last"), *(F.min_by(c, first).alias(f"source_{c}") for c in ("at", "h", "beside")))
+    source = written(source.where("source < last").drop("last"), "seed-sources")
+    # all tables here grow with the input: merge joins keep the plan the same at every size
+    # a seed meets its first place in its source, and its n-th place the n-th one there: no product of the places in both
+    again = found.where("nth > 0").join(source.select("seed", "source", "source_h").hint("merge"), "seed").where("id = source AND h = source_h")
+    again = again.select("seed", "nth", "source", "source_h", F.col("at").alias("source_at"), F.col("beside").alias("source_beside"))
+    met = found.join(source.hint("merge"), "seed").unionByName(found.where("nth > 0").join(again.hint("merge"), ["seed", "nth"]))
+    matches = written(met.where("id <> source").select("seed", "id", "h", "at", (F.col("nth") == 0).alias("first"), "beside", "source", "source_h", "source_at", _near().alias("near")), "matches")
+    release(found, source)
+    first = aligned_passages(df, matches, id_col, text, least, similar)
+    again = written(with_predecessors(matches, first), "matches")
+    aligned = first.unionByName(aligned_passages(df, again, id_col, text, least, similar))
+    release(again)
+    schema = f"id {kind}, h long, start long, n_words long, source {kind}, source_start long, source_words long, similarity double"
     exact = exact_stretches(df, matches, aligned, id_col, text, least)
     release(matches)
     aligned = aligned.drop("total")
@@ -449,23 +510,25 @@ def without_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     """The rows of df, with all their columns, without the words of their repeated passages: each passage stays in the document of
     the smallest id that has it. What is left of a text keeps its own white space; rows that lose all their words go.
     n_chars: a column that then gets the length of the text that is left."""
-    found = written(repeated_passages(df, id_col, text, **options).groupBy(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h")).agg(F.sort_array(F.collect_set(F.struct("start", "n_words"))).alias("_spans")), "passages")
+    found = repeated_passages(df, id_col, text, **options).groupBy(id_col, "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "n_words"))).alias("spans"))
     columns = df.columns
+    i, h, spans = (unused(columns, c) for c in ("i", "h", "spans"))
+    found = written(found.select(F.col(id_col).alias(i), F.col("text_hash").alias(h), F.col("spans").alias(spans)), "passages")
     at = columns.index(text)
-    rows = df.withColumn("_k", F.xxhash64(text)).join(found, (F.col(id_col) == F.col("_i")) & (F.col("_k") == F.col("_h")), "left").select(*columns, "_spans")
+    rows = df.join(found, (df[id_col] == found[i]) & (F.xxhash64(df[text]) == found[h]), "left").select(*(df[c] for c in columns), found[spans])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("_spans")
-            some = [i for i in range(len(batch)) if spans[i].is_valid]
+            found = batch.column(len(columns))
+            some = [i for i in range(len(batch)) if found[i].is_valid]
             texts, keep = {}, np.ones(len(batch), bool)
             for i in some:
                 value = batch.column(at)[i].as_py()
                 raw = value.encode()
                 starts, ends, _, _ = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                 gone = np.zeros(len(starts), bool)
-                for s in spans[i].as_py():
+                for s in found[i].as_py():
                     gone[s["start"] : s["start"] + s["n_words"]] = True
                 if gone.all():
                     keep[i] = False

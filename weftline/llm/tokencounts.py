@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._shared import lean
+from weftline.llm._shared import lean, unused
 from weftline.llm._text import list_array
 from weftline.llm.bpe import Encoded, _replay_cache, _token_bytes, encode_batches
 
@@ -71,7 +71,7 @@ def line_sections(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 def count_lines(df: DataFrame, ranks_path: str, text: str = "text", rule: str = "majority") -> DataFrame:
     """df with n_tokens, section_tokens (array: the tokens of each line, as long or, by the rule split, double) and n_crossing
     (tokens across a line's end). A null or empty text has no lines and no tokens. Texts of any length are encoded whole;
-    repeated rows are counted alike; other columns pass through, and those with the names of the output are replaced."""
+    repeated rows are counted alike; other columns pass through, and those with the names of the output are replaced. An empty table gives no rows."""
     names = ["n_tokens", "section_tokens", "n_crossing"]
     kept = [c for c in df.columns if c not in names]
     split = rule == "split"
@@ -95,7 +95,8 @@ def count_lines(df: DataFrame, ranks_path: str, text: str = "text", rule: str =
 def count_fields(df: DataFrame, ranks_path: str, fields: list[str], separator: str = "\n", rule: str = "majority") -> DataFrame:
     """df with n_tokens, field_tokens (array in the order of fields) and n_crossing, from one encoding of the fields joined by
     `separator`, which counts as the end of the field before it. A null field is an empty one; so is a null array of texts,
-    whose elements are joined alike. Other columns pass through."""
+    whose elements are joined alike. Repeated rows are counted alike; other columns pass through, and those with the names of the output
+    are replaced. An empty table gives no rows."""
     names = ["n_tokens", "field_tokens", "n_crossing"]
     kept = [c for c in df.columns if c not in names]
 
@@ -104,10 +105,11 @@ def count_fields(df: DataFrame, ranks_path: str, fields: list[str], separator: s
         return F.coalesce(F.array_join(field, separator) if array else F.col(field).cast("string"), F.lit(""))
 
     parts = [F.concat(written_out(f), F.lit(separator)) if i + 1 < len(fields) else written_out(f) for i, f in enumerate(fields)]
-    work = df.select(*kept, F.concat(*parts).alias("_whole"), F.array(*[F.octet_length(p).cast("long") for p in parts]).alias("_sizes"))
+    extra = [unused([*kept, *names], c) for c in ("whole", "sizes")]
+    work = df.select(*kept, F.concat(*parts).alias(extra[0]), F.array(*[F.octet_length(p).cast("long") for p in parts]).alias(extra[1]))
     split = rule == "split"
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.DoubleType() if split else T.LongType())), T.StructField(names[2], T.LongType())])
-    all_names = [*kept, "_whole", "_sizes"]
+    all_names = [*kept, *extra]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
