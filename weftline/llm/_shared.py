@@ -48,10 +48,27 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of the Arrow batches that tables are written from.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run within get Arrow batches of at most BATCH_BYTES (or one row), so that long texts don't fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and kept as a Parquet table in the shared folder: it survives lost executors and cuts the lineage."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -78,8 +95,8 @@ def perhaps_listed(df: DataFrame, key: Column, listed: DataFrame, listed_key: st
     columns = df.columns
     rows = df.withColumn("_at", place(key)).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(maps), "_bucket")  # 2048 rows of 4 KB at most
     bit = F.bitmap_bit_position("_at")
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return rows.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).select(*columns)
+    byte = F.ascii(F.decode(F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    return rows.where(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*columns)
 
 
 def filter_of(listed: DataFrame, key: str) -> np.ndarray:

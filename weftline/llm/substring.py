@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import FILTER_BITS, filter_of, lean, perhaps_listed, release, runs_of, unused, written
+from weftline.llm._shared import FILTER_BITS, filter_of, lean, perhaps_listed, release, runs_of, small_batches, unused, written
 from weftline.llm._text import LOWER, NOT_SPACE, column_bytes, row_ranges, shingle_hashes, span_hashes, word_spans
 
 K, WINDOW = 5, 20
@@ -316,10 +317,18 @@ def exact_stretches(df: DataFrame, matches: DataFrame, aligned: DataFrame, id_co
     open_ = matches.select("id", "h", "seed", "at", "first").distinct().join(spans.hint("merge"), ["id", "h"], "left").where(~F.coalesce(covered, F.lit(False)))
     asked = filter_of(open_.select(F.col("h").bitwiseXOR(F.col("seed")).alias("key")), "key")
 
+    # only texts with such a seed are looked through for runs, and only texts with a seed that two texts have can hold one of these
+    with_open = filter_of(open_.select("h"), "h")
+    with_shared = filter_of(matches.select("h").unionByName(matches.select(F.col("source_h").alias("h"))), "h")
+
     def listed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
         place = keys & np.uint64(FILTER_BITS - 1)
         return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+    def some_of(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(listed(bits, batch.column(1).to_numpy().view(np.uint64))))
+
     def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(rows of words, words, places of runs, hashes of runs) of the texts that are long enough."""
         data, offsets = column_bytes(batch.column(2))
@@ -332,7 +341,7 @@ def exact_stretches(df: DataFrame, matches: DataFrame, aligned: DataFrame, id_co
 
     @lean
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in some_of(batches, with_open):
             texts = batch.column(1).to_numpy().view(np.uint64)
             for rows, words, whole, runs in parts(batch):
                 n = len(words)
@@ -343,15 +352,23 @@ def exact_stretches(df: DataFrame, matches: DataFrame, aligned: DataFrame, id_co
                     for j in range(1, WINDOW):
                         np.minimum(picked, smallest[j : j + n], out=picked)
                     count = np.r_[0, np.cumsum(listed(asked, picked ^ texts[rows]), dtype=np.int64)]
-                    runs = runs[count[whole + windows] - count[whole] == windows]
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(runs).view(np.int64))], ["run"])
+                    some = count[whole + windows] - count[whole] == windows
+                    whole, runs = whole[some], runs[some]
+                at = whole - np.searchsorted(rows, rows)[whole]
+                part = pa.array(rows[whole])
+                yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), batch.column(0).take(part), batch.column(1).take(part), pa.array(at, pa.int32())], ["run", "id", "h", "at"])
 
     keyed = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    looked_for = filter_of(keyed.mapInArrow(wanted, "run long"), "run")
+    asking = written(keyed.mapInArrow(wanted, f"run long, id {kind}, h long, at int"), "asking-runs")
+    inside = aligned.groupBy("id", "h").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words") - least).alias("end"))).alias("spans"))
+    held = F.exists("spans", lambda x: F.col("at").between(x["start"], x["end"]))
+    asking = asking.join(inside.hint("merge"), ["id", "h"], "left").where(~F.coalesce(held, F.lit(False))).select("run")
+    with small_batches(df.sparkSession):
+        looked_for = filter_of(asking, "run")
 
     @lean
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in some_of(batches, with_shared):
             for rows, _, whole, runs in parts(batch):
                 some = listed(looked_for, runs)
                 first, whole, runs = np.searchsorted(rows, rows), whole[some], runs[some]
@@ -420,8 +437,9 @@ def aligned_passages(df: DataFrame, matches: DataFrame, id_col: str, text: str,
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
+            for at, end in row_ranges(np.r_[0, np.cumsum(sizes)], 1 << 20, 256):
+                part = batch.slice(at, end - at)
                 words = []
                 for c in ("a", "b"):
                     data, offsets = column_bytes(part.column(c))
@@ -483,16 +501,20 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     kind = df.schema[id_col].dataType.simpleString()
     found = written(seeds(df, id_col, text), "seeds")
-    first = F.when(F.col("nth") == 0, F.col("id"))
-    source = found.groupBy("seed").agg(F.min("id").alias("source"), F.max("id").alias("last"), *(F.min_by(c, first).alias(f"source_{c}") for c in ("at", "h", "beside")))
-    source = written(source.where("source < last").drop("last"), "seed-sources")
     # all tables here grow with the input: merge joins keep the plan the same at every size
-    # a seed meets its first place in its source, and its n-th place the n-th one there: no product of the places in both
-    again = found.where("nth > 0").join(source.select("seed", "source", "source_h").hint("merge"), "seed").where("id = source AND h = source_h")
-    again = again.select("seed", "nth", "source", "source_h", F.col("at").alias("source_at"), F.col("beside").alias("source_beside"))
-    met = found.join(source.hint("merge"), "seed").unionByName(found.where("nth > 0").join(again.hint("merge"), ["seed", "nth"]))
-    matches = written(met.where("id <> source").select("seed", "id", "h", "at", (F.col("nth") == 0).alias("first"), "beside", "source", "source_h", "source_at", _near().alias("near")), "matches")
+    source = found.groupBy("seed").agg(F.min("id").alias("source"), F.max("id").alias("last"))
+    source = written(source.where("source < last").drop("last"), "seed-sources")
+    shared = written(perhaps_listed(found, F.col("seed"), source, "seed").join(source.hint("merge"), "seed"), "shared-seeds")
     release(found, source)
+    # a seed meets its first place in its source, and its n-th place the n-th one there: no product of the places in both
+    place = F.min(F.when((F.col("id") == F.col("source")) & (F.col("nth") == 0), F.struct("h", "at", "beside")))
+    first = written(shared.groupBy("seed").agg(place.alias("p")).select("seed", *(F.col(f"p.{c}").alias(f"source_{c}") for c in ("h", "at", "beside"))), "seed-places")
+    again = shared.where("nth > 0 AND id = source").join(first.select("seed", "source_h").hint("merge"), "seed").where("h = source_h")
+    again = again.select("seed", "nth", "source_h", F.col("at").alias("source_at"), F.col("beside").alias("source_beside"))
+    own = shared.where("id <> source")
+    met = own.join(first.hint("merge"), "seed").unionByName(own.where("nth > 0").join(again.hint("merge"), ["seed", "nth"]))
+    matches = written(met.select("seed", "id", "h", "at", (F.col("nth") == 0).alias("first"), "beside", "source", "source_h", "source_at", _near().alias("near")), "matches")
+    release(shared, first)
     first = aligned_passages(df, matches, id_col, text, least, similar)
     again = written(with_predecessors(matches, first), "matches")
     aligned = first.unionByName(aligned_passages(df, again, id_col, text, least, similar))
