@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm._shared import lean, written
-from weftline.llm._text import list_array, mix64
+from weftline.llm._text import mix64
 from weftline.llm.graph import components
 
 PROBES = 4
@@ -94,8 +94,9 @@ def _first_shared(a: np.ndarray, b: np.ndarray, bucket: np.uint64) -> np.ndarray
     return shared[np.arange(len(a)), table].min(axis=1) == bucket
 
 
-def _links(x: np.ndarray, side: np.ndarray, cross: bool, names: np.ndarray, weight: np.ndarray, node: np.ndarray, bucket: np.uint64, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows with a link, their links' weight, the smallest node of each one's component within the group)."""
+def _links(x: np.ndarray, side: np.ndarray, cross: bool, names_of: Callable, weight: np.ndarray, node: np.ndarray, bucket: np.uint64, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with a link, their links' weight, the smallest node of each one's component within the group). names_of gives
+    (rows, tables, probes) names of given vectors: only those with a link are asked for, so names needn't be sent with the vectors."""
     near = x @ x.T >= least
     np.fill_diagonal(near, False)
     if cross:
@@ -105,10 +106,11 @@ def _links(x: np.ndarray, side: np.ndarray, cross: bool, names: np.ndarray, weig
         return some, weight[:0], node[:0]
     near = near[np.ix_(some, some)]
     i, j = np.nonzero(np.triu(near))
+    names = names_of(x[some])
     count = np.zeros(len(some), np.int64)
     for at in range(0, len(i), 50_000):
         a, b = i[at : at + 50_000], j[at : at + 50_000]
-        first = _first_shared(names[some[a]], names[some[b]], bucket)
+        first = _first_shared(names[a], names[b], bucket)
         np.add.at(count, a[first], weight[some[b[first]]])
         np.add.at(count, b[first], weight[some[a[first]]])
     label = node[some]
@@ -137,7 +139,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     classes = written(rows.where("fine").groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     dims = [(r["d"], r["n"]) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()]
     shape = {d: tables_for(n, d) for d, n in dims}
-    kind = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("v", T.ArrayType(df.schema[vector].dataType.elementType)), T.StructField("names", T.ArrayType(T.LongType()))])
+    kind = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("v", T.ArrayType(df.schema[vector].dataType.elementType))])
 
     @lean
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +154,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
                     names = buckets(x, *shape[d], probes).reshape(n, -1).view(np.int64)
                     m = names.shape[1]
                     again = pa.array(np.repeat(np.arange(n), m))
-                    yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), part.column("node").take(again), part.column("weight").take(again), part.column("v").take(again), list_array(np.repeat(names, m, axis=0).ravel(), np.arange(n * m + 1) * m, pa.int64())], kind.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), part.column("node").take(again), part.column("weight").take(again), part.column("v").take(again)], kind.names)
 
     def names_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in hashed(batches):
@@ -161,7 +163,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     own = classes.select("node", "weight", "v")
     large = written(own.mapInArrow(names_only, "bucket long").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "vector-buckets")
     placed = own.mapInArrow(hashed, kind).join(large, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "weight", "v", "names")
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "weight", "v")
     groups = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
 
     @lean
@@ -172,8 +174,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
                 return None
             bucket, lo, hi = (part.column(c)[0].as_py() for c in ("bucket", "lo", "hi"))
             x = unit(np.asarray(part.column("v").flatten()).reshape(n, -1))
-            tables = shape[x.shape[1]][1]
-            names = np.asarray(part.column("names").flatten()).view(np.uint64).reshape(n, tables, -1)
+            names = lambda some: buckets(some, *shape[x.shape[1]], probes)
             node = np.asarray(part.column("node"))
             some, count, label = _links(x, np.asarray(part.column("side")), lo != hi, names, np.asarray(part.column("weight")), node, np.int64(bucket).view(np.uint64), least)
             return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(count, pa.int64()), pa.array(label)], ["node", "n", "root"]) if len(some) else None
