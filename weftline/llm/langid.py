@@ -1,7 +1,7 @@
 """Language identification: known words first, character n-grams of falling length for the others.
 
-The model holds log frequencies by language of words and of character n-grams (with marks at the word's ends), of bounded
-number. A known word adds its log frequency in each language to the text's score; an unseen word adds the mean of those of
+The model holds log frequencies by language of words and of character n-grams (with marks at the word's ends): all
+that a bounded sample of labelled texts has. A known word adds its log frequency in each language to the text's score; an unseen word adds the mean of those of
 its longest n-grams of which any is known: of length 5 if it has one, else 4, and so on to single characters.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,6 @@ LONGEST = 5
 SAMPLE_ROWS = 20_000
 #: A tenth of these is shared out evenly first: a rare language has its part of it, or all its rows if they are fewer.
 EVEN = 10
-#: Entries kept of each language: words, and n-grams of each length, the most frequent of those seen twice at least.
-MOST_WORDS, MOST_GRAMS = 50_000, 30_000
 UNKNOWN = "und"
 _POINT = stream64(13, 0x110000 + 2)
 _BEGIN, _END = 0x110000, 0x110001
@@ -64,9 +62,10 @@ class _Words:
         left = np.repeat(length + 2, length + 2) - at
         factor = stream64(17, LONGEST) | np.uint64(1)
         for n in range(LONGEST, 0, -1):
-            h = np.zeros(max(len(values) - n + 1, 0), np.uint64)
+            m = max(len(values) - n + 1, 0)
+            h = np.zeros(m, np.uint64)
             for j in range(n):
-                h += values[j : len(values) - n + 1 + j] * factor[j]
+                h += values[j : j + m] * factor[j]
             whole = left[: len(h)] >= n
             if n == 1:
                 whole &= (at[: len(h)] > 0) & (left[: len(h)] > 1)
@@ -156,7 +155,9 @@ def sample_rates(by_label: dict[str, int], sample_rows: int) -> dict[str, float]
 
 
 def train(df: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from the rows with text and label. Counting is distributed; the driver gets the bounded model only."""
+    """Learns from the rows with text and label. Counting is distributed; the driver gets the counts of the sample's
+    words and n-grams, so sample_rows bounds the model. Repeated rows count each; rows with a null text or label are left out;
+    without any row the model has no language."""
     rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"))
     by_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if sum(by_label.values()) > sample_rows:
@@ -174,26 +175,9 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", sample_rows: i
     counts = rows.mapInArrow(run, "label string, n int, key long, c long").groupBy("label", "n", "key").agg(F.sum("c").alias("c"))
     counts = written(counts, "language-counts")
     totals = counts.groupBy("label", "n").agg(F.sum("c").alias("total")).toArrow().to_pydict()
-    # a bound by count: the least count that so many entries reach, found from the counts' own (short) distribution
-    spread = counts.where("c > 1").groupBy("label", "n", "c").agg(F.count("*").alias("m")).toArrow().to_pydict()
-    least: dict[tuple[str, int], int] = {}
-    by: dict[tuple[str, int], list[tuple[int, int]]] = {}
-    for name, n, c, m in zip(*(spread[k] for k in ("label", "n", "c", "m")), strict=True):
-        by.setdefault((name, n), []).append((c, m))
-    for key, found in by.items():
-        held, bound = 0, 2
-        for c, m in sorted(found, reverse=True):
-            held += m
-            if held > (MOST_GRAMS if key[1] else MOST_WORDS):
-                bound = c + 1
-                break
-        least[key] = bound
     total_of = {(a, b): t for a, b, t in zip(totals["label"], totals["n"], totals["total"], strict=True)}
     names = sorted({a for a, _ in total_of})
-    keep: Column = F.lit(False)
-    for (name, n), bound in least.items():
-        keep = keep | ((F.col("label") == name) & (F.col("n") == n) & (F.col("c") >= bound))
-    model = counts.where(keep).toArrow()
+    model = counts.toArrow()
     kinds, keys, label, c = (model[x].to_numpy() for x in ("n", "key", "label", "c"))
     number = {x: i for i, x in enumerate(names)}
     of = np.array([number[x] for x in label], np.int64)
