@@ -188,3 +188,64 @@ def test_siblings_count_once(spark):
     names = spark.createDataFrame([("a", "a1"), ("a", "a2"), ("a", "a3"), ("b", "b"), ("c", "c")], "uri string, label string")
     got = {(r["node"], r["rank"], r["sibling"], r["label"]) for r in G.siblings(h, names, 2).collect()}
     assert got == {("a", 1, "b", "b"), ("a", 2, "c", "c"), ("b", 1, "a", "a1"), ("b", 2, "c", "c"), ("c", 1, "a", "a1"), ("c", 2, "b", "b")}
+
+
+def test_live_asks_once_and_passes_messages(spark, tmp_path):
+    rows = [("a", f"b{i % 4}", "forward", f"q{i}") for i in range(20)]  # keys repeat
+    prompts = spark.createDataFrame(rows, "source string, target string, direction string, prompt string")
+    shared = spark.createDataFrame([(2, "u2", "a2"), (1, "u1", "a1")], "place int, user string, assistant string")
+
+    def ask(turns):
+        import json
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).write_text(json.dumps(turns))
+        return "No"
+
+    out = C.live(C.messages(prompts, "be brief", shared, "vllm"), ask).collect()
+    assert len(out) == 20 == len(list(tmp_path.iterdir())) and all(r["verdict"] is False for r in out)
+    import json
+
+    turns = json.loads(next(tmp_path.iterdir()).read_text())
+    assert [tuple(t) for t in turns[:-1]] == [("system", "be brief"), ("user", "u1"), ("assistant", "a1"), ("user", "u2"), ("assistant", "a2")]
+    assert C.interaction_style("auto", "https://openrouter.ai/x") == "openrouter" and C.system_role(C.interaction_style("auto", None)) == "system"
+    with pytest.raises(ValueError, match="unknown interaction"):
+        C.interaction_style("x", None)
+
+
+def test_json_answers_with_escapes_and_repeated_keys(spark):
+    from weftline.functions import verdicts as V
+
+    texts = {r'{"answer": "\u0079es"}': True, '{"answer": true, "answer": false}': False, '{"answer": "No"}': False, ' true ': True, '{"answer": 1}': None, '{"other": true}': None, '{"answer": true, "b": 1}': None, "yes": None, '{"answer": null}': None, "": None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", V.json_verdict(F.col("t")).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in rows} == texts
+
+
+def test_static_examples(spark):
+    from weftline.operators import fewshot as S
+
+    pair = "source string, target string"
+    train = spark.createDataFrame([(f"s{i}", f"t{i}") for i in range(20)], pair)
+    asked = spark.createDataFrame([("s0", "t0"), ("t1", "s1"), ("s2", "t9")], pair)
+    rows = S.build(train, asked, 6, seed=3).orderBy("place").collect()
+    assert [r["label"] for r in rows] == [True, False] * 3 and [r["how"] for r in rows] == [None, "random"] * 3
+    assert all(r["source"][1:] == r["target"][1:] for r in rows if r["label"]) and all(r["source"][1:] != r["target"][1:] for r in rows if not r["label"])
+    assert rows == S.build(train.repartition(5), asked, 6, seed=3).orderBy("place").collect()
+    near = spark.createDataFrame([(f"t{i}", 1, f"t{i}") for i in range(20)] + [(f"t{i}", 2, "t9") for i in range(3)], "node string, rank int, sibling string")
+    hard = S.hard_negatives(train, near, asked, 4, 1).orderBy("place").collect()
+    assert {(r["source"], r["target"]) for r in hard if r["how"] == "succeeded"} == {("s0", "t9"), ("s1", "t9")} and len(hard) == 4
+    assert S.audit(S.hard_negatives(train, near, asked, 4, 1)).head().asDict() == {"total": 4, "eligible": 4, "succeeded": 2, "exhausted": 2, "unsupported": 0, "success_rate": 0.5}
+    both = S.build(train, asked, 5, bidirectional=True).orderBy("place").collect()
+    assert [r["direction"] for r in both] == ["forward", "reverse"] * 2 + ["forward"] and [r["label"] for r in both] == [True, True, False, False, True]
+    assert S.build(train.limit(0), asked, 3).count() == 0
+
+
+def test_vocabularies():
+    from weftline.functions import vocabularies as Y
+
+    assert Y.preset("multilingual_skos").takes_language("fr") and not Y.preset("default").takes_language("fr") and Y.preset("default").takes_language(None)
+    Y.register(Y.Vocabulary("own"))
+    assert Y.preset("own").name == "own" and Y.sibling_strategy("alphanumeric", "x") == "alphanumeric" and Y.sibling_strategy(None, None) == "sbert"
+    with pytest.raises(ValueError, match="lexical_extra"):
+        Y.annotation_groups('{"preferred_label": [], "synonym": ["a"]}')
+    assert Y.endpoint_kind("http://LOCALHOST:8000/v1") == "Local (vLLM/SGLang)" and Y.endpoint_kind("https://x.org:99/v1") == "Custom (x.org:99)"

@@ -32,8 +32,50 @@ def test_config_is_strict(tmp_path):
         evaluate.engine("x")
 
 
-@pytest.mark.parametrize("strategy", ["random", "hard", "rag"])
-def test_examples_are_refused(strategy):
-    with pytest.raises(ValueError, match="not built"):
-        config.build({"few_shot": {"strategy": strategy, "k": 2}})
-    assert config.build({"few_shot": {"strategy": strategy}}).few_shot.k == 0
+def test_examples_need_a_source():
+    with pytest.raises(ValueError, match="operators.retrieval"):
+        config.build({"few_shot": {"strategy": "rag", "k": 2}})
+    with pytest.raises(ValueError, match="train_reference"):
+        config.build({"few_shot": {"strategy": "random", "k": 2}})
+
+
+HEAD = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#" xml:base="http://%s/o">'
+
+
+def ontology(name):
+    parts = [HEAD % name, '<owl:Ontology rdf:about=""/>', '<owl:Class rdf:ID="top"><rdfs:label>Top thing</rdfs:label></owl:Class>']
+    for i in range(6):
+        parts.append(f'<owl:Class rdf:about="#c{i}"><rdfs:label xml:lang="en">{name} class {i}</rdfs:label><rdfs:subClassOf rdf:resource="#top"/><rdfs:subClassOf><owl:Restriction><owl:onProperty rdf:resource="#has"/><owl:someValuesFrom rdf:resource="#top"/></owl:Restriction></rdfs:subClassOf></owl:Class>')
+    parts.append('<owl:ObjectProperty rdf:about="#has"><rdfs:label>has</rdfs:label><rdfs:domain rdf:resource="#c0"/><rdfs:range rdf:resource="#top"/></owl:ObjectProperty>')
+    parts.append('<rdf:Description rdf:about="#item"><rdf:type rdf:resource="#c1"/><rdfs:label>Item</rdfs:label></rdf:Description></rdf:RDF>')
+    return "".join(parts)
+
+
+def test_from_ontologies_to_questions(spark, tmp_path):
+    for x in "ab":
+        (tmp_path / f"{x}.owl").write_text(ontology(x))
+    pairs = [(f"http://a/o#c{i}", f"http://b/o#c{i}") for i in range(6)]
+    (tmp_path / "init.txt").write_text("".join(f"{s}|{t}|=|0.5|CLS\n" for s, t in pairs))
+    (tmp_path / "ask.txt").write_text("".join(f"{s}|{t}|=|0.5|CLS\n" for s, t in pairs[:2]) + "http://a/o#has|http://b/o#has|=|0.5|OPROP\nhttp://a/o#item|http://b/o#item|=|0.5|INST\n")
+    (tmp_path / "train.tsv").write_text("".join(f"{s}\t{t}\t1.0\n" for s, t in pairs[2:]))
+    setting = config.build({"task": {"initial_alignment": f"{tmp_path}/init.txt", "asked": f"{tmp_path}/ask.txt", "train_reference": f"{tmp_path}/train.tsv", "source_ontology": f"{tmp_path}/a.owl", "target_ontology": f"{tmp_path}/b.owl"}, "prompts": {"template": "one_level_of_parents"}, "few_shot": {"strategy": "hard", "k": 4}, "output": {"folder": f"{tmp_path}/out"}})
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def ask(turns):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(json.dumps(turns))
+        return '{"answer": true}'
+
+    got = run.run(spark, setting, ask=ask)
+    calls = [json.loads(f.read_text()) for f in log.iterdir()]
+    assert got["verdicts"] == {"true": 4} and got["status"] == "success" and got["skipped"] == 0
+    assert len(calls) == 4  # one call for each question
+    for turns in calls:
+        assert [r for r, _ in turns] == ["developer"] + ["user", "assistant"] * 4 + ["user"]
+        assert [c for r, c in turns if r == "assistant"] == ['{"answer": true}', '{"answer": false}'] * 2
+    asked = [turns[-1][1] for turns in calls]
+    assert sum("a class 0" in q and "b class 0" in q and "Top thing" in q for q in asked) == 1 and sum('"has"' in q for q in asked) == 1
+    restrictions = run.from_ontologies(spark, setting)[0]["CLS"].where("uri = 'http://a/o#c3'").select("e.*").head()
+    assert [r["property_name"] for r in restrictions["restrictions"]] == ["has"] and restrictions["siblings"] == ["a class 0", "a class 1"] and restrictions["levels"][:2] == ["a class 3", "Top thing"]

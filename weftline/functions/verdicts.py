@@ -88,15 +88,13 @@ def _stripped(text: Column) -> Column:
     return F.lower(F.trim(text, F.lit(STRIPPED)))
 
 
-#: The JSON documents that are answers: a boolean, or an object of the one key answer with a boolean or a text.
-JSON_ANSWER = r'^\s*(?:(true|false)|\{\s*"answer"\s*:\s*(?:(true|false)|"((?:[^"\\]|\\.)*)")\s*\})\s*$'
-
-
 def json_verdict(text: Column) -> Column:
-    """A JSON boolean, or an object whose only key is answer, with a boolean or an answer word."""
-    part = lambda i: F.regexp_extract(text, JSON_ANSWER, i)
-    plain = F.concat(part(1), part(2))
-    return F.when(plain != "", plain == "true").when(part(3) != "", token_verdict(_stripped(part(3))))
+    """A JSON boolean, or an object whose only key is answer, with a boolean or an answer word; of repeated keys the last counts."""
+    plain = F.trim(text, F.lit(" \t\r\n"))
+    keys = F.json_object_keys(text)
+    only = keys.isNotNull() & (F.size(keys) > 0) & F.forall(keys, lambda k: k == "answer")
+    said = F.from_json(text, "answer string")["answer"]
+    return F.when(plain.isin("true", "false"), plain == "true").when(only, token_verdict(_stripped(said)))
 
 
 def _negated(words: Column, index: Column) -> Column:

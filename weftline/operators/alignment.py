@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,3 +142,45 @@ def sidecar_partition(reference: DataFrame, sidecars: dict[str, DataFrame]) -> D
     checked = grouped.join(base.withColumn("_in", F.lit(True)), PAIR, "left")
     require(checked, outside_reference=F.col("_in").isNull(), in_two_sidecars=F.col("n") > 1)
     return base.join(grouped.select(*PAIR, "lane"), PAIR, "left").withColumn("lane", F.coalesce("lane", F.lit("unknown")))
+
+
+def filled_rows(fields: DataFrame) -> DataFrame:
+    """(source, target, relation, confidence, type, _pos) of rows of text fields `f` in order of `_pos`: the first five, stripped; what is
+    missing is =, 1.0 and CLS; rows of one field are left out; the first of each pair stays."""
+    at = lambda i, default=None: F.trim(F.coalesce(F.get("f", F.lit(i)), F.lit(default)))
+    rows = fields.where(F.size("f") >= 2).select(at(0).alias("source"), at(1).alias("target"), at(2, "=").alias("relation"), at(3, "1.0").alias("confidence"), at(4, "CLS").alias("type"), "_pos")
+    return first_of_pair(rows)
+
+
+def sealed_predictions(asked: DataFrame, predictions: DataFrame, lane) -> DataFrame:
+    """(source, target, lane, verdict, n_asked, n_predicted, problem) of each pair of both tables; problem is null if it is asked once and
+    predicted once, in the same lane, else what is wrong. lane: a function from a type column to its lane."""
+    a = asked.groupBy(*PAIR).agg(F.count("*").alias("n_asked"), F.min(lane(F.col("type"))).alias("lane"))
+    p = predictions.groupBy(*PAIR).agg(F.count("*").alias("n_predicted"), F.min(lane(F.col("type"))).alias("_lane"), F.min("verdict").alias("verdict"))
+    rows = a.join(p, PAIR, "full_outer")
+    blank = (F.coalesce("source", F.lit("")) == "") | (F.coalesce("target", F.lit("")) == "")
+    problem = F.when(blank, "blank").when(F.col("n_asked").isNull(), "not asked").when(F.col("n_predicted").isNull(), "no prediction").when(F.col("n_asked") > 1, "asked twice").when(F.col("n_predicted") > 1, "predicted twice").when(F.col("lane") != F.col("_lane"), "other lane")
+    return rows.select(*PAIR, "lane", "verdict", F.coalesce("n_asked", F.lit(0)).alias("n_asked"), F.coalesce("n_predicted", F.lit(0)).alias("n_predicted"), problem.alias("problem"))
+
+
+def only_sealed(checked: DataFrame) -> DataFrame:
+    """(source, target, lane, verdict) of `sealed_predictions` if nothing is wrong; else an error that counts the problems."""
+    wrong = {r["problem"]: r["n"] for r in checked.where("problem IS NOT NULL").groupBy("problem").agg(F.count("*").alias("n")).collect()}
+    if wrong:
+        raise ValueError(f"predictions don't fit the asked pairs: {wrong}")
+    return checked.select(*PAIR, "lane", "verdict")
+
+
+def has_reverse(prompts: DataFrame, key: str = "key") -> bool:
+    """Whether any prompt key has a third part, which names a direction."""
+    return bool(prompts.agg(F.coalesce(F.bool_or(F.size(F.split(key, r"\|")) >= 3), F.lit(False)).alias("b")).head()["b"])
+
+
+def content_digest(initial: DataFrame, asked: DataFrame) -> str:
+    """A digest of both tables' rows that neither their order nor partitions change: that of the sums of the rows' digests' parts."""
+    out = []
+    for name, df in (("initial", initial), ("asked", asked)):
+        row = F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("<NA>")) for c in df.columns if not c.startswith("_")])), 256)
+        parts = [F.coalesce(F.sum(F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"p{i}") for i in range(5)]
+        out.append(":".join([name, *map(str, df.agg(F.count("*").alias("n"), *parts).head())]))
+    return hashlib.sha256("|".join(out).encode()).hexdigest()

@@ -15,6 +15,8 @@ from weftline.operators.alignment import PAIR
 # fixed values
 TRANSIENT_STATUS = (429, 500, 502, 503, 504)
 RETRIES, CONSECUTIVE = 2, 5
+STYLES = ("openrouter", "openai_chat_completions_parse_structured_output", "vllm", "sglang", "local")
+MESSAGES = "array<struct<role: string, content: string>>"
 
 ANSWER = "source string, target string, direction string, verdict boolean, state string, oracle_confidence double, input_tokens long, output_tokens long, raw string"
 
@@ -27,10 +29,12 @@ def stub(prompts: DataFrame, modulus: int = 2) -> DataFrame:
 
 def recorded(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers (source, target, direction, raw, tokens: array or null) read by the rules for free answers; prompts without an answer are errors."""
-    parsed = V.parse_answer(F.col("raw"))
-    rows = prompts.join(answers, [*PAIR, "direction"], "left").withColumn("_p", parsed)
-    has = "tokens" in answers.columns
-    sure = V.logprob_confidence(F.col("tokens"), F.col("_p.verdict")) if has else F.lit(float("nan"))
+    sure = V.logprob_confidence(F.col("tokens"), F.col("_p.verdict")) if "tokens" in answers.columns else F.lit(float("nan"))
+    return _read(prompts.join(answers, [*PAIR, "direction"], "left"), sure)
+
+
+def _read(rows: DataFrame, sure: Column) -> DataFrame:
+    rows = rows.withColumn("_p", V.parse_answer(F.col("raw")))
     return rows.select(*PAIR, "direction", F.col("_p.verdict").alias("verdict"), F.when(F.col("_p.verdict").isNull(), "error").when(F.col("_p.verdict"), "true").otherwise("false").alias("state"), sure.alias("oracle_confidence"), K.token_estimate(F.col("prompt")).alias("input_tokens"), K.token_estimate(F.coalesce("raw", F.lit(""))).alias("output_tokens"), "raw")
 
 
@@ -38,9 +42,41 @@ class Transient(Exception):
     """Raised by a caller's function where a call may be repeated: connection lost, TRANSIENT_STATUS, or no choices."""
 
 
-def live(prompts: DataFrame, ask: Callable[[str], str], workers: int = 8, retries: int = RETRIES, seed: int = 0) -> DataFrame:
-    """Calls ask(prompt) for each prompt, from `workers` threads in each task; repeats after Transient, with growing delays, and
-    records any other failure as an error. Write the result before it is used, as a task that is run again asks again."""
+def messages(prompts: DataFrame, developer: str | None = None, examples: DataFrame | None = None, style: str = "openrouter") -> DataFrame:
+    """prompts with `messages` (array of role and content): the developer's text, the shared or own examples as turns, the prompt.
+    examples (place, user, assistant) are shared by all prompts, with key columns of a pair they belong to that pair."""
+    role = system_role(style)
+    turn = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
+    head = F.array(turn(role, F.lit(developer))) if developer else F.array().cast(MESSAGES)
+    turns, rows = F.array().cast(MESSAGES), prompts
+    if examples is not None:
+        said = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "user", "assistant"))), lambda x: F.array(turn("user", x["user"]), turn("assistant", x["assistant"])))).cast(MESSAGES)
+        own = [c for c in (*PAIR, "direction") if c in examples.columns]
+        if own:
+            rows = prompts.join(examples.groupBy(*own).agg(said.alias("_turns")), own, "left")
+        else:
+            rows = prompts.crossJoin(F.broadcast(examples.agg(said.alias("_turns"))))  # one row
+        turns = F.coalesce("_turns", turns)
+    return rows.withColumn("messages", F.concat(head, turns, F.array(turn("user", F.col("prompt")))).cast(MESSAGES)).select(*prompts.columns, "messages")
+
+
+def interaction_style(requested: str, url: str | None) -> str:
+    """The named style; `auto` goes by the endpoint's address."""
+    if requested.lower() == "auto":
+        return "openrouter" if "openrouter.ai" in (url or "") else "vllm"
+    if requested not in STYLES:
+        raise ValueError(f"unknown interaction style {requested}")
+    return requested
+
+
+def system_role(style: str) -> str:
+    return "system" if style in ("vllm", "sglang") else "developer"
+
+
+def live(prompts: DataFrame, ask: Callable, workers: int = 8, retries: int = RETRIES, seed: int = 0) -> DataFrame:
+    """Calls ask once for each row, from `workers` threads in each task: ask(prompt), or ask(list of (role, content)) if prompts have the
+    column of `messages`. It repeats after Transient, with growing delays, and records any other failure as an error. Write the
+    result before it is used, as a task that is run again asks again. Repeated rows are asked each."""
 
     def delay(key: str, n: int) -> float:
         import hashlib
@@ -65,10 +101,11 @@ def live(prompts: DataFrame, ask: Callable[[str], str], workers: int = 8, retrie
 
         with ThreadPoolExecutor(workers) as pool:
             for pdf in batches:
-                yield pdf.assign(raw=list(pool.map(one, zip(pdf["source"], pdf["target"], pdf["prompt"], strict=True))))
+                said = pdf["prompt"] if "messages" not in pdf else [[(m["role"], m["content"]) for m in row] for row in pdf["messages"]]
+                yield pdf[["source", "target", "direction", "prompt"]].assign(raw=list(pool.map(one, zip(pdf["source"], pdf["target"], said, strict=True))))
 
-    answers = prompts.select(*PAIR, "direction", "prompt").mapInPandas(run, "source string, target string, direction string, prompt string, raw string")
-    return recorded(answers.drop("raw"), answers.drop("prompt"))
+    own = ["messages"] if "messages" in prompts.columns else []
+    return _read(prompts.select(*PAIR, "direction", "prompt", *own).mapInPandas(run, "source string, target string, direction string, prompt string, raw string"), F.lit(float("nan")))
 
 
 def predictions(asked: DataFrame, answers: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import relations as R
+from weftline.operators.retrieval import dot
+from weftline.shared import work_dir
 
 # fixed values
 RDF, RDFS, OWL = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
@@ -102,12 +104,7 @@ def ancestors(hierarchy: DataFrame, rounds: int = 40) -> DataFrame:
     Paths double each round: a round joins the paths found so far with each other, so a chain of n edges takes log2(n)
     rounds. Each round's paths are checkpointed, so the plan doesn't grow.
     """
-    spark = hierarchy.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-        spark.sparkContext.setCheckpointDir(folder)
+    work_dir(hierarchy.sparkSession)
     paths = hierarchy.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct().checkpoint()
     n = paths.count()
     for _ in range(rounds):
@@ -215,10 +212,12 @@ def property_view(triples: DataFrame) -> DataFrame:
 
 def property_siblings(view: DataFrame, most: int) -> DataFrame:
     """(uri, rank, sibling): properties of the same kind with a common domain class and, for data properties, a common range or none."""
-    by_domain = view.select("uri", "is_data", "range", F.explode("domain").alias("d"))
-    other = by_domain.select(F.col("uri").alias("sibling"), F.col("is_data").alias("_k"), F.col("range").alias("_r"), "d")
-    fits = ~F.col("is_data") | F.arrays_overlap("range", "_r") | ((F.size("range") == 0) & (F.size("_r") == 0))
-    pairs = by_domain.join(other, "d").where((F.col("uri") != F.col("sibling")) & (F.col("is_data") == F.col("_k")) & fits).select("uri", "sibling").distinct()
+    # object properties meet by domain, data properties by domain and range (none is a range too): of each group at most `most` + 1 are met
+    group = F.when(~F.col("is_data"), F.array(F.lit("any"))).when(F.size("range") == 0, F.array(F.lit(""))).otherwise(F.transform("range", lambda r: F.concat(F.lit("="), r)))
+    keyed = view.select("uri", "is_data", F.explode("domain").alias("d"), group.alias("g")).select("uri", "is_data", "d", F.explode("g").alias("g")).distinct()
+    first = Window.partitionBy("is_data", "d", "g").orderBy(R.local_name(F.col("uri")), "uri")
+    best = keyed.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= most + 1).select(F.col("uri").alias("sibling"), "is_data", "d", "g")
+    pairs = keyed.join(best, ["is_data", "d", "g"]).where("uri <> sibling").select("uri", "sibling").distinct()
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("uri").orderBy(R.local_name(F.col("sibling")), "sibling"))).where(F.col("rank") <= most).select("uri", "rank", "sibling")
 
 
@@ -265,3 +264,118 @@ def instance_context(triples: DataFrame, abstract: list[str], categories: list[s
         F.sort_array(F.collect_set(F.when(free & F.col("o_is_literal"), one))).alias("data"),
         F.sort_array(F.collect_set(F.when(free & ~F.col("o_is_literal"), one))).alias("object"),
     )
+
+
+def select(triples: DataFrame, *patterns: tuple[str, str, str]) -> DataFrame:
+    """The bindings of a basic graph pattern: terms that begin with ? are variables, each a column of the result; patterns that share
+    variables are joined on them. A null never binds."""
+    out = None
+    for pattern in patterns:
+        names = list(dict.fromkeys(t[1:] for t in pattern if t.startswith("?")))
+        rows = triples
+        for column, term in zip("spo", pattern, strict=True):
+            rows = rows.where(F.col(column).isNotNull() if term.startswith("?") else F.col(column) == term)
+        at: dict[str, str] = {}
+        for column, term in zip("spo", pattern, strict=True):
+            if term.startswith("?"):
+                if term[1:] in at:  # a variable twice in one pattern
+                    rows = rows.where(F.col(column) == F.col(at[term[1:]]))
+                else:
+                    at[term[1:]] = column
+        rows = rows.select(*[F.col(at[n]).alias(n) for n in names]).distinct()
+        if out is None:
+            out = rows
+        else:
+            shared = [n for n in names if n in out.columns]
+            if not shared:
+                raise ValueError(f"{pattern} shares no variable with the patterns before it")
+            out = out.join(rows, shared)
+    return out.distinct()
+
+
+def named(uris: DataFrame, column: str, triples: DataFrame) -> DataFrame:
+    """uris with `name`: the smallest label of the column's uri, else its own name."""
+    texts = labels(triples).select(F.col("uri").alias("_u"), F.array_min("labels").alias("_l"))
+    return uris.join(texts, F.col(column) == F.col("_u"), "left").withColumn("name", F.coalesce("_l", R.label_of_uri(F.col(column)))).drop("_u", "_l")
+
+
+def ancestor_names(triples: DataFrame) -> DataFrame:
+    """(node, names): sorted distinct names of the ancestors."""
+    return named(ancestors(edges(triples)).select("node", "ancestor"), "ancestor", triples).groupBy("node").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def descendant_names(triples: DataFrame) -> DataFrame:
+    """(node, names): sorted distinct names of the descendants."""
+    return named(descendants(edges(triples)).select("node", "descendant"), "descendant", triples).groupBy("node").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def descendant_names_of(triples: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, names): those of the classes of these names, in any case."""
+    return by_name(triples, names).join(descendant_names(triples).select(F.col("node").alias("uri"), "names"), "uri").select("name", "names")
+
+
+def ends_of(triples: DataFrame, predicate: str) -> DataFrame:
+    """(uri, ends): the named classes that a property has by rdfs:domain or rdfs:range, sorted."""
+    rows = triples.where((F.col("p") == predicate) & ~F.col("o_is_literal") & ~F.col("o").startswith("_:"))
+    return rows.groupBy(F.col("s").alias("uri")).agg(F.array_sort(F.collect_set("o")).alias("ends"))
+
+
+def domain_uris(triples: DataFrame) -> DataFrame:
+    return ends_of(triples, DOMAIN)
+
+
+def range_uris(triples: DataFrame) -> DataFrame:
+    return ends_of(triples, RANGE)
+
+
+def direct_parents(hierarchy: DataFrame) -> DataFrame:
+    """(child, parents): all direct ones, sorted."""
+    return hierarchy.groupBy("child").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
+
+
+def direct_children(hierarchy: DataFrame) -> DataFrame:
+    """(parent, children): all direct ones, sorted."""
+    return hierarchy.groupBy("parent").agg(F.array_sort(F.collect_set("child")).alias("children"))
+
+
+def children_by_levels(hierarchy: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(node, level, member): as `levels`, downwards."""
+    return levels(hierarchy.select(F.col("parent").alias("child"), F.col("child").alias("parent")), nodes, most)
+
+
+def used_as_type(triples: DataFrame, uris: DataFrame) -> DataFrame:
+    """(uri, used): whether a subject has the uri as its type."""
+    types = triples.where((F.col("p") == TYPE) & ~F.col("o_is_literal")).select(F.col("o").alias("uri"), F.lit(True).alias("used")).distinct()
+    return uris.select("uri").distinct().join(types, "uri", "left").select("uri", F.coalesce("used", F.lit(False)).alias("used"))
+
+
+def literals(triples: DataFrame) -> DataFrame:
+    """(s, p, text): the lexical forms of literals, without language and datatype."""
+    return triples.where("o_is_literal").select("s", "p", F.col("o").alias("text"))
+
+
+def relatives_names(relations: DataFrame, triples: DataFrame) -> DataFrame:
+    """(node, names: array<array<string>>) of relations (node, relative): all names of each relative, in order of the relatives' uris."""
+    uris = relations.select(F.col("relative").alias("uri"))
+    rows = relations.join(labels(triples, uris).withColumnRenamed("uri", "relative"), "relative")
+    return rows.groupBy("node").agg(F.transform(F.array_sort(F.collect_set(F.struct("relative", "labels"))), lambda x: x["labels"]).alias("names"))
+
+
+def level_synonyms(triples: DataFrame, synonyms: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(node, own, above): the synonyms of the node and, level by level, of the ancestor of the smallest uri there. synonyms (uri,
+    synonym); a list that is only the own name of its class is empty."""
+    entry = levels(edges(triples), nodes, most).groupBy("node", "level").agg(F.min("member").alias("uri"))
+    rows = entry.join(synonyms.select("uri", F.array_sort("synonym").alias("said")), "uri", "left").withColumn("said", F.coalesce("said", F.array().cast("array<string>")))
+    clean = F.when((F.size("said") == 1) & (F.get("said", F.lit(0)) == R.local_name(F.col("uri"))), F.array().cast("array<string>")).otherwise(F.col("said"))
+    rows = rows.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", clean.alias("said")))), lambda x: x["said"]).alias("every"))
+    return rows.select("node", F.get("every", F.lit(0)).alias("own"), F.slice("every", F.lit(2), F.greatest(F.size("every") - 1, F.lit(0))).alias("above"))
+
+
+def siblings_by_vector(candidates: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
+    """(node, rank, sibling, label, score) of candidates (node, sibling, label): the nearest by cosine, then by label and uri.
+    vectors (uri, vector) are unit ones; candidates without a vector aren't ranked."""
+    own = vectors.select(F.col("uri").alias("node"), F.col("vector").alias("_a"))
+    other = vectors.select(F.col("uri").alias("sibling"), F.col("vector").alias("_b"))
+    scored = candidates.join(own, "node").join(other, "sibling").select("node", "sibling", "label", dot(F.col("_a"), F.col("_b")).alias("score"))
+    order = Window.partitionBy("node").orderBy(F.desc("score"), "label", "sibling")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("node", "rank", "sibling", "label", "score")

@@ -17,6 +17,9 @@ class Task:
     reference: str = ""
     train_reference: str = ""
     domain: str | None = None
+    source_ontology: str = ""
+    target_ontology: str = ""
+    vocabulary: str = "default"
     partial_reference: bool = False
 
 
@@ -46,6 +49,7 @@ class FewShot:
     k: int = 0
     budget: int | None = None
     positive_share: float = 0.5
+    seed: int = 0
 
 
 @dataclass(frozen=True)
@@ -77,8 +81,10 @@ class Config:
             raise ValueError(f"unknown oracle {self.oracle.source}")
         if self.few_shot.k and mode_of(self.few_shot.strategy) == "zero_shot":
             raise ValueError("zero_shot takes no examples")
-        if self.few_shot.k:
-            raise ValueError("few-shot examples are not built: a run asks without examples only")
+        if self.few_shot.k and mode_of(self.few_shot.strategy) == "query_rag":
+            raise ValueError("examples for each question are made by operators.retrieval; a run takes static ones only")
+        if self.few_shot.k and not self.task.train_reference:
+            raise ValueError("static examples need task.train_reference")
 
     @property
     def run_id(self) -> str:

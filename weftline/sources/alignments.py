@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -245,3 +246,88 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     bare = lambda c: F.regexp_replace(c, "^<|>$", "")
     literal = part(3) == ""
     return rows.select(bare(part(1)).alias("s"), part(2).alias("p"), F.when(literal, F.regexp_replace(part(4), r'\\(["\\])', "$1")).otherwise(bare(part(3))).alias("o"), literal.alias("o_is_literal"), F.nullif(part(5), F.lit("")).alias("lang"), F.nullif(part(6), F.lit("")).alias("datatype"))
+
+
+def rdfxml_triples(text: str) -> list[tuple[str, str, str, bool, str | None, str | None]]:
+    """The triples of an RDF/XML document: node elements with rdf:about, rdf:ID or rdf:nodeID, nested nodes, attributes as literals,
+    rdf:resource, rdf:datatype, xml:lang, parseType Resource and Collection. Entity declarations are expanded by the parser."""
+    rdf, xml = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}", "{http://www.w3.org/XML/1998/namespace}"
+    iri = lambda tag: tag[1:].replace("}", "", 1) if tag.startswith("{") else tag
+    out: list[tuple] = []
+    count = 0
+
+    def blank() -> str:
+        nonlocal count
+        count += 1
+        return f"_:x{count}"
+
+    def absolute(value: str, base: str) -> str:
+        return value if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", value) else base.split("#")[0] + value if value.startswith("#") or not value else f"{base.split('#')[0].rsplit('/', 1)[0]}/{value}"
+
+    def node(e, base: str, lang: str | None) -> str:
+        base, lang = e.get(f"{xml}base", base), e.get(f"{xml}lang", lang)
+        about, own, shared = e.get(f"{rdf}about"), e.get(f"{rdf}ID"), e.get(f"{rdf}nodeID")
+        s = absolute(about, base) if about is not None else absolute(f"#{own}", base) if own is not None else f"_:{shared}" if shared is not None else blank()
+        if e.tag != f"{rdf}Description":
+            out.append((s, iri(f"{rdf}type"), iri(e.tag), False, None, None))
+        for name, value in e.attrib.items():
+            if not name.startswith((rdf, xml)) and name.startswith("{"):
+                out.append((s, iri(name), value, True, lang, None))
+        for p in e:
+            edge(s, p, base, lang)
+        return s
+
+    def edge(s: str, p, base: str, lang: str | None) -> None:
+        lang = p.get(f"{xml}lang", lang)
+        name, form, inner = iri(p.tag), p.get(f"{rdf}parseType"), list(p)
+        if p.get(f"{rdf}resource") is not None:
+            out.append((s, name, absolute(p.get(f"{rdf}resource"), base), False, None, None))
+        elif p.get(f"{rdf}nodeID") is not None:
+            out.append((s, name, f"_:{p.get(f'{rdf}nodeID')}", False, None, None))
+        elif form == "Resource":
+            o = blank()
+            out.append((s, name, o, False, None, None))
+            for q in inner:
+                edge(o, q, base, lang)
+        elif form == "Collection":
+            items = [node(x, base, lang) for x in inner]
+            cells = [blank() for _ in items] + [iri(f"{rdf}nil")]
+            out.append((s, name, cells[0], False, None, None))
+            for i, item in enumerate(items):
+                out.extend([(cells[i], iri(f"{rdf}first"), item, False, None, None), (cells[i], iri(f"{rdf}rest"), cells[i + 1], False, None, None)])
+        elif inner:
+            out.append((s, name, node(inner[0], base, lang), False, None, None))
+        else:
+            kind = p.get(f"{rdf}datatype")
+            out.append((s, name, p.text or "", True, None if kind else lang, kind))
+
+    root = ET.fromstring(text)
+    for e in root if root.tag == f"{rdf}RDF" else [root]:
+        node(e, root.get(f"{xml}base", ""), root.get(f"{xml}lang"))
+    return out
+
+
+def read_rdfxml(spark: SparkSession, path: str) -> DataFrame:
+    """(s, p, o, o_is_literal, lang, datatype) of RDF/XML files; each is parsed by one task, so large ontologies come as several files or
+    as N-Triples. Blank nodes are named by file. A file that is no XML fails the job."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for place, content in zip(pdf["path"], pdf["content"], strict=True):
+                mark = format(zlib.crc32(place.encode()), "08x")
+                own = lambda x: f"_:{mark}{x[2:]}" if x.startswith("_:") else x
+                yield pd.DataFrame([(own(s), p, o if lit else own(o), lit, lang, kind) for s, p, o, lit, lang, kind in rdfxml_triples(bytes(content).decode("utf-8-sig"))], columns=["s", "p", "o", "o_is_literal", "lang", "datatype"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "s string, p string, o string, o_is_literal boolean, lang string, datatype string")
+
+
+def read_ontology(spark: SparkSession, path: str) -> DataFrame:
+    """The triples of a file, N-Triples by the suffix .nt, else RDF/XML."""
+    return read_triples(spark, path) if path.rsplit(".", 1)[-1].lower() == "nt" else read_rdfxml(spark, path)
+
+
+def read_ontologies(spark: SparkSession, source: str, target: str) -> tuple[DataFrame, DataFrame]:
+    return read_ontology(spark, source), read_ontology(spark, target)
