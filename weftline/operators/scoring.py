@@ -202,10 +202,17 @@ def strata(system: DataFrame, reference: DataFrame, lanes: list[str], partial_re
 
 def strata_by_type(system: DataFrame, reference: DataFrame, partial_reference: bool = False) -> DataFrame:
     """Scores by the type that URIs show; the scope of a partial reference is that of each stratum."""
+    kinds = ("class", "property", "instance")
+    if not partial_reference:  # one join for all strata
+        s, r = (df.select(*PAIR).distinct() for df in (system, reference))
+        both = s.withColumn("in_system", F.lit(True)).join(r.withColumn("in_reference", F.lit(True)), PAIR, "full_outer").fillna(False, ["in_system", "in_reference"])
+        counts = both.withColumn("stratum", R.mapping_type(F.col("source"), F.col("target"))).where(F.col("stratum").isin(*kinds)).groupBy("stratum").agg(*_counts())
+        measured = M.prf(F.col("tp"), F.col("fp"), F.col("fn"))
+        return counts.select("stratum", "tp", "fp", "fn", *[v.alias(k) for k, v in measured.items() if k in ("precision", "recall", "f1")])
     out = None
-    for kind in ("class", "property", "instance"):
+    for kind in kinds:
         s, r = (df.where(R.mapping_type(F.col("source"), F.col("target")) == kind) for df in (system, reference))
-        one = (partial(s, r) if partial_reference else plain(s, r)).select(F.lit(kind).alias("stratum"), "tp", "fp", "fn", "precision", "recall", "f1")
+        one = partial(s, r).select(F.lit(kind).alias("stratum"), "tp", "fp", "fn", "precision", "recall", "f1")
         out = one if out is None else out.unionByName(one)
     return out.where("tp + fp + fn > 0")
 
