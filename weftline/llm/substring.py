@@ -158,10 +158,17 @@ def chain(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP) -> list[np
 def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs (start in a, start in b, length) of equal words in an alignment of the fewest insertions, deletions and changes."""
     n, m = len(a), len(b)
-    if n == m and (a == b).all():
-        return [(0, 0, n)] if n else []
+    k = min(n, m)
+    unequal = np.flatnonzero(a[:k] != b[:k])
+    head = int(unequal[0]) if len(unequal) else k
+    unequal = np.flatnonzero(a[n - k + head :][::-1] != b[m - k + head :][::-1])
+    tail = int(unequal[0]) if len(unequal) else k - head
+    # what both begin and end with is in some best alignment
+    ends = [r for r in ((0, 0, head), (n - tail, m - tail, tail)) if r[2]]
+    a, b = a[head : n - tail], b[head : m - tail]
+    n, m = len(a), len(b)
     if not n or not m:
-        return []
+        return ends
     lines = np.zeros((n + 1, m + 1), np.int32)
     lines[0] = np.arange(m + 1)
     step = np.arange(m + 1)
@@ -185,7 +192,7 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
             i -= 1
         else:
             j -= 1
-    return runs[::-1]
+    return sorted([*ends, *((i + head, j + head, k) for i, j, k in runs)])
 
 
 def _joined(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -263,7 +270,7 @@ def passages(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int
         for part in (group, *([r] for r in group if len(group) > 1)):
             i, j, (u, v, n) = part[0][0], part[0][1], part[-1]
             if u + n - i >= least:
-                found = _similarity(a[i : u + n], b[j : v + n], k)
+                found = 1.0 if len(part) == 1 else _similarity(a[i : u + n], b[j : v + n], k)
                 if found >= similar:
                     out.append((i, u + n - i, j, v + n - j, found))
                     if part is group:
