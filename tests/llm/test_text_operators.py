@@ -81,6 +81,32 @@ def test_passages_whose_parts_lie_in_smaller_documents(spark, changes):
     assert caught == 150 if not changes else caught >= 149
 
 
+@pytest.mark.parametrize("cells", [4, 1 << 20])
+def test_alignments_cost_least(monkeypatch, cells):
+    monkeypatch.setattr(substring, "CELLS", cells)
+    rng = random.Random(1)
+
+    def fewest(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, line[0] = line[:], i
+            for j, y in enumerate(b, 1):
+                line[j] = min(last[j] + 1, line[j - 1] + 1, last[j - 1] + (x != y))
+        return line[-1]
+
+    for _ in range(800):
+        a = [rng.randrange(4) for _ in range(rng.randint(0, 14))]
+        b = list(a) if rng.random() < 0.5 else [rng.randrange(4) for _ in range(rng.randint(0, 14))]
+        if b:
+            b[rng.randrange(len(b))] = 9
+        i = j = cost = 0
+        for u, v, n in [*substring.align(np.array(a, np.int64), np.array(b, np.int64)), (len(a), len(b), 0)]:
+            assert u >= i and v >= j and a[u : u + n] == b[v : v + n]
+            cost += max(u - i, v - j)
+            i, j = u + n, v + n
+        assert cost == fewest(a, b)
+
+
 def test_lines_that_repeat_on_and_on(spark):
     rng = random.Random(12)
     line, tail = sentence(rng, 7), sentence(rng, 20)

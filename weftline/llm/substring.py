@@ -34,6 +34,8 @@ LEAST, SIMILAR = 50, 0.75
 GAP = 0.05
 #: Columns of a passage between its first mention and the result.
 STRETCH = ["id", "h", "start", "n_words", "source", "source_start", "source_words", "similarity"]
+#: Cells of the table that an alignment holds at most; larger ones are cut in halves.
+CELLS = 1 << 20
 #: In an alignment a word that differs costs as much as so many that agree gain.
 EDIT = 5
 
@@ -155,6 +157,18 @@ def chain(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP) -> list[np
     return out
 
 
+def _costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The fewest insertions, deletions and changes from a to each beginning of b."""
+    step = np.arange(len(b) + 1)
+    line = step.astype(np.int32)
+    for i in range(1, len(a) + 1):
+        best = np.empty(len(b) + 1, np.int32)
+        best[0] = i
+        best[1:] = np.minimum(line[1:] + 1, line[:-1] + (b != a[i - 1]))
+        line = (np.minimum.accumulate(best - step) + step).astype(np.int32)
+    return line
+
+
 def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs (start in a, start in b, length) of equal words in an alignment of the fewest insertions, deletions and changes."""
     n, m = len(a), len(b)
@@ -169,6 +183,11 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     n, m = len(a), len(b)
     if not n or not m:
         return ends
+    if n * m > CELLS and n > 1:  # halves that meet where the costs of both add up to the least: the same cost in bounded memory
+        half = n // 2
+        at = int((_costs(a[:half], b) + _costs(a[half:][::-1], b[::-1])[::-1]).argmin())
+        inner = align(a[:half], b[:at]) + [(i + half, j + at, k) for i, j, k in align(a[half:], b[at:])]
+        return sorted([*ends, *((i + head, j + head, k) for i, j, k in inner)])
     lines = np.zeros((n + 1, m + 1), np.int32)
     lines[0] = np.arange(m + 1)
     step = np.arange(m + 1)
