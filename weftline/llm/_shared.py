@@ -18,6 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def give_back() -> None:
+    """Hands freed memory of this process back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lean(run: Callable) -> Callable:
     """A function over Arrow batches that hands freed memory back when it ends: workers live on, with what they have grown to."""
 
@@ -25,11 +34,7 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return inner
 
@@ -74,6 +79,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
+    give_back()
     return out
 
 
@@ -81,7 +87,7 @@ def release(*tables: DataFrame) -> None:
     """Deletes tables of `written` that nothing will read any more, and lets Spark drop the shuffle files of finished jobs."""
     for df in tables:
         drop_folder(df.sparkSession, df._written_at)
-    gc.collect()
+    give_back()
     SparkSession.active()._jvm.System.gc()
 
 
