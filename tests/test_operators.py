@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import file_queries as Q
 from weftline.operators import alignment as A
 from weftline.operators import consult as C
 from weftline.operators import graph as G
@@ -47,6 +48,62 @@ def test_rdf_with_bare_relations(spark, tmp_path):
     assert [(r["source"], r["target"], r["relation"]) for r in L.read_cells(spark, str(p)).orderBy("_pos").collect()] == [("a1", "b1", "<"), ("a2", "b2", ">"), ("a3", "b3", "=")]
 
 
+RDF = 'xmlns="http://knowledgeweb.semanticweb.org/heterogeneity/alignment" xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#"'
+CELL = '<map><Cell><entity1 r:resource="é{0}"/><entity2 r:resource="&e;{0}"/><relation>{1}</relation><measure>0.{0}</measure></Cell></map>'
+
+
+def _rdf_text(n: int) -> str:
+    cells = [CELL.format(i, "<>=?"[i % 4]) + f'<!-- <Cell><entity1 r:resource="no"/><entity2 r:resource="{"no" * (i % 5)}"/></Cell> -->' for i in range(n)]
+    return f'<?xml version="1.0"?><!DOCTYPE r:RDF [<!ENTITY e "entity2-ü">]><r:RDF {RDF}><Alignment>{"".join(cells)}</Alignment></r:RDF>'
+
+
+def test_rdf_files_are_read_in_pieces(spark, tmp_path):
+    """No task holds a file as one value, and files cut into splits give the same rows in the same order."""
+    for k in range(3):
+        (tmp_path / f"{k}.rdf").write_text(_rdf_text(40 + k), encoding="utf-8")
+    want = [(f"é{i}", f"entity2-ü{i}", "<>=?"[i % 4], float(f"0.{i}")) for i in range(40)]
+    held = {c: spark.conf.get(c) for c in ("spark.sql.sources.binaryFile.maxLength", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")
+        for size in (10**8, 1000, 131, 13):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            rows = L.read_rdf(spark, str(tmp_path / "0.rdf")).orderBy("_pos").collect()
+            assert [(r["source"], r["target"], r["relation"], r["confidence"]) for r in rows] == want
+        assert L.read_rdf(spark, str(tmp_path / "*.rdf")).count() == 40 + 41 + 42
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+
+
+def test_rdf_pieces_give_the_rows_of_a_tree():
+    text = f'<A {RDF}><Cell><entity1 r:resource="a"/><entity2 r:resource="x"/><Cell><entity1 r:resource="c"/><entity2 r:resource="d"/></Cell><relation> &lt; <b>no</b>no</relation><entity2 r:resource="b"/><measure/></Cell><Cell><entity1/><entity2 r:resource="e"/></Cell></A>'
+    want = [("a", "b", " < ", None), ("c", "d", None, None)]
+    assert L.rdf_rows(text) == want
+    for cut in range(len(text)):
+        parser = L.RdfParser()
+        rows = parser.feed(text[:cut].encode()) + parser.feed(text[cut:].encode()) + parser.close()
+        assert [r[1:] for r in sorted(rows)] == want
+
+
+@pytest.mark.parametrize("text", ["<r>", "<r/>x", "<r>&none;</r>", "<r><p:Cell/></r>"])
+def test_rdf_that_is_no_xml_fails(spark, tmp_path, text):
+    (tmp_path / "x.rdf").write_text(text)
+    with pytest.raises(Exception, match="ParseError"):
+        L.read_rdf(spark, str(tmp_path / "x.rdf")).count()
+
+
+def test_rdf_documents_follow_the_partitions(spark):
+    """A document of the written RDF is one partition's cells, not a share of all cells in one value."""
+    rows = spark.range(700).select(F.concat(F.lit("a<&"), "id").alias("source"), F.lit("b").alias("target"), F.lit("<").alias("relation"), F.lit("0.5").alias("confidence")).repartition(7)
+    path = Q._rdf(rows, "documents")
+    found = spark.read.text(path).select(F.length("value").alias("n"))
+    assert len(spark.read.text(path).inputFiles()) == 7 and found.agg(F.max("n")).head()[0] < 300
+    for read in (L.read_rdf, L.read_wellformed_rdf):
+        got = read(spark, path).select("source", "target", "relation", "confidence").collect()
+        assert sorted(map(tuple, got)) == sorted((f"a<&{i}", "b", "<", 0.5) for i in range(700))
+
+
 def test_external_rows(spark, tmp_path):
     p = tmp_path / "e.tsv"
     p.write_text("a\tb\nc\td\t<\t0.3\tINST\ne\tf\t0.7\ng\th\tOPROP\n")

@@ -110,24 +110,33 @@ def _(spark, d):
 
 
 def _rdf(df: DataFrame, name: str) -> str:
-    """Alignment RDF, a document for each partition."""
+    """Alignment RDF, a document for each partition, written cell by cell."""
     path = fresh(df.sparkSession, name)
     escaped = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     cell = F.concat(F.lit('<map><Cell><entity1 rdf:resource="'), escaped("source"), F.lit('"/><entity2 rdf:resource="'), escaped("target"), F.lit('"/><relation>'), escaped("relation"), F.lit("</relation><measure>"), F.col("confidence"), F.lit("</measure></Cell></map>"))
     head = '<?xml version="1.0"?><rdf:RDF xmlns="http://knowledgeweb.semanticweb.org/heterogeneity/alignment" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><Alignment>'
-    whole = df.select(F.pmod(F.xxhash64("source"), F.lit(4)).alias("k"), cell.alias("c")).groupBy("k").agg(F.concat(F.lit(head), F.array_join(F.collect_list("c"), ""), F.lit("</Alignment></rdf:RDF>")).alias("value"))
-    whole.repartition(4, "k").write.partitionBy("k").text(path)
+
+    def document(batches):
+        import pyarrow as pa
+
+        lines = lambda x: pa.RecordBatch.from_arrays([x.cast(pa.string())], ["value"])
+        yield lines(pa.array([head]))
+        for batch in batches:
+            yield lines(batch.column(0))
+        yield lines(pa.array(["</Alignment></rdf:RDF>"]))
+
+    df.select(cell.alias("value")).mapInArrow(document, "value string").write.text(path)
     return path
 
 
 @query("file_rdf", "SELECT source, target, relation, count(*) AS n FROM sys GROUP BY 1, 2, 3", "cells")
 def _(spark, d):
-    return L.read_rdf(spark, _rdf(_system(spark, d), "rdf") + "/*").groupBy("source", "target", "relation").agg(F.count("*").alias("n"))
+    return L.read_rdf(spark, _rdf(_system(spark, d), "rdf")).groupBy("source", "target", "relation").agg(F.count("*").alias("n"))
 
 
 @query("file_wellformed_rdf", "SELECT source, target, relation, count(*) AS n FROM sys GROUP BY 1, 2, 3", "cells")
 def _(spark, d):
-    return L.read_wellformed_rdf(spark, _rdf(_system(spark, d), "rdf") + "/*").groupBy("source", "target", "relation").agg(F.count("*").alias("n"))
+    return L.read_wellformed_rdf(spark, _rdf(_system(spark, d), "rdf")).groupBy("source", "target", "relation").agg(F.count("*").alias("n"))
 
 
 @query("file_scored", "SELECT count(*) AS n, round(sum(confidence), 2) AS total FROM sys", "cells")

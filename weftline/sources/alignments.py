@@ -69,47 +69,107 @@ def read_cells(spark: SparkSession, path: str, sep: str | None = None) -> DataFr
     return rows.select(at(0).alias("source"), at(1).alias("target"), F.coalesce(R.exact_relation(F.get("f", F.lit(2))), F.lit("=")).alias("relation"), "_pos")
 
 
-def rdf_rows(text: str) -> list[tuple[str, str, str | None, str | None]]:
-    """(entity1, entity2, relation, measure) of the elements that have both entities, whatever their namespaces. Bare < and > as
-    relations, which are no XML, are read too."""
+class _RdfCells:
+    """Target of a parser: the elements that have both entities, whatever their namespaces, without a tree of the document."""
+
+    def __init__(self):
+        self.rows, self.open, self.n, self.names, self.text = [], [], 0, {}, None
+
+    def start(self, tag: str, attrib: dict) -> None:
+        name = self.names.get(tag)
+        if name is None:
+            name = self.names[tag] = tag.rpartition("}")[2]
+        if self.text is not None:  # an element's text ends at its first child
+            self.open[-1][2], self.text = "".join(self.text), None
+        if name in ("entity1", "entity2"):
+            if self.open:
+                self._put(name, next((v for k, v in attrib.items() if k.rpartition("}")[2] == "resource"), None))
+        elif name in ("relation", "measure"):
+            self.text = []
+        self.open.append([self.n, None, None])
+        self.n += 1
+
+    def _put(self, name: str, value: str | None) -> None:
+        """A child's value; the last child of a name counts."""
+        parent = self.open[-1]
+        if parent[1] is None:
+            parent[1] = {}
+        parent[1][name] = value
+
+    def data(self, text: str) -> None:
+        if self.text is not None:
+            self.text.append(text)
+
+    def end(self, tag: str) -> None:
+        place, found, text = self.open.pop()
+        name = self.names[tag]
+        if name in ("relation", "measure") and self.open:
+            if self.text is not None:
+                text, self.text = "".join(self.text), None
+            self._put(name, text or None)
+        if found and found.get("entity1") is not None and found.get("entity2") is not None:
+            self.rows.append((place, found["entity1"], found["entity2"], found.get("relation"), found.get("measure")))
+
+    def taken(self) -> list[tuple]:
+        out, self.rows = self.rows, []
+        return out
+
+
+class RdfParser:
+    """(place of the element, entity1, entity2, relation, measure) of a document that is fed piece by piece; a piece ends at the document's
+    end or before or after the word entity2. A bare < as relation, which is no XML, is read too. A document that is no XML raises."""
+
+    def __init__(self):
+        self.cells = _RdfCells()
+        self.parser = ET.XMLParser(target=self.cells)
+
+    def feed(self, piece: bytes) -> list[tuple]:
+        self.parser.feed(piece.decode("utf-8", "replace").replace("<relation><</relation>", "<relation>&lt;</relation>").encode())
+        return self.cells.taken()
+
+    def close(self) -> list[tuple]:
+        self.parser.close()
+        return self.cells.taken()
 
-    def parse(x: str) -> ET.Element:
-        return ET.fromstring(x.encode())
 
-    try:
-        root = parse(text)
-    except ET.ParseError:
-        mended = re.sub(r"<relation>([<>])</relation>", lambda m: f"<relation>&{'lt' if m[1] == '<' else 'gt'};</relation>", text)
-        if mended == text:
-            raise
-        root = parse(mended)
-    out = []
-    for element in root.iter():
-        found = {}
-        for child in element:
-            name = child.tag.rpartition("}")[2]
-            if name in ("entity1", "entity2"):
-                found[name] = next((v for k, v in child.attrib.items() if k.rpartition("}")[2] == "resource"), None)
-            elif name in ("relation", "measure"):
-                found[name] = child.text
-        if found.get("entity1") is not None and found.get("entity2") is not None:
-            out.append((found["entity1"], found["entity2"], found.get("relation"), found.get("measure")))
-    return out
+def rdf_rows(text: str) -> list[tuple[str, str, str | None, str | None]]:
+    """(entity1, entity2, relation, measure) of the elements of a document that have both entities, in its order."""
+    parser = RdfParser()
+    return [r[1:] for r in sorted(parser.feed(text.encode()) + parser.close(), key=lambda r: r[0])]
 
 
 def read_rdf(spark: SparkSession, path: str) -> DataFrame:
-    """(source, target, relation, confidence, type, _pos) of alignment RDF/XML files; each file is parsed by one task."""
+    """(source, target, relation, confidence, type, _pos) of alignment RDF/XML files. They are read in pieces, each up to the word entity2,
+    so files of any size take little memory; the pieces of a file meet in one task, which parses them in order. `_pos` has gaps."""
+    mark = b"entity2"
+    names = ["i", "source", "target", "relation", "measure"]
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
-                rows = rdf_rows(bytes(raw).decode("utf-8", "replace"))
-                yield pd.DataFrame([(name, i, *r) for i, r in enumerate(rows)], columns=["path", "i", "source", "target", "relation", "measure"])
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = raw.mapInPandas(run, "path string, i long, source string, target string, relation string, measure string")
+        import numpy as np
+        import pyarrow as pa
+
+        kinds = pa.schema([("i", pa.int64()), *[(c, pa.string()) for c in names[1:]]])
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(kinds)], schema=kinds)
+        file = parser = None
+        for batch in batches:
+            files, at = batch.column(0).to_numpy(), 0
+            for end in [*(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)] if len(files) else []:
+                piece = mark.join(batch.column(1).slice(at, end - at).to_pylist())
+                if parser is None or files[at] != file:
+                    if parser is not None:
+                        yield table(parser.close())
+                    file, parser = files[at], RdfParser()
+                else:
+                    piece = mark + piece
+                yield table(parser.feed(piece))
+                at = end
+        if parser is not None:
+            yield table(parser.close())
+
+    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    pieces = spark.read.option("lineSep", mark.decode()).text(path).select(*place, F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("text"))
+    ordered = pieces.repartition("file").sortWithinPartitions("file", "start", "n").select("file", "text")
+    rows = ordered.mapInArrow(run, "i long, source string, target string, relation string, measure string")
     return rows.select("source", "target", R.normalise_relation(F.col("relation")).alias("relation"), F.coalesce(F.col("measure").try_cast("double"), F.lit(1.0)).alias("confidence"), F.lit("CLS").alias("type"), F.col("i").alias("_pos"))
 
 
